@@ -6,15 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import op1_language_id
 from .pivotsearch import op4_pivot_topk
 from .sharding import op10_virtual_slots
+from .tokencount import op6_token_counts
+from .tokenfile import op9_token_files
+from .toxicity import op8_toxicity
 from .urlfilter import op2_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op2_url_filter": op2_url_filter,
         "op4_pivot_topk": op4_pivot_topk,
+        "op6_token_counts": op6_token_counts,
+        "op8_toxicity": op8_toxicity,
+        "op9_token_files": op9_token_files,
         "op10_virtual_slots": op10_virtual_slots,
     }
 

@@ -81,3 +81,29 @@ def held_out_py(doc_id) -> bool:
 def text_bytes(column: Column | str) -> Column:
     column = F.col(column) if isinstance(column, str) else column
     return F.coalesce(F.octet_length(column), F.lit(0)).cast("long")
+
+
+#: Bits of the id filter: a table of at most BITS / 64 rows, whatever the number of ids.
+BITS = 1 << 23
+
+
+def id_bitmap(ids: DataFrame, column: str) -> DataFrame:
+    """A bit for the hash of every id: (word, bits), of bounded size."""
+    h = ids.select(F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(BITS)).alias("h"))
+    return h.groupBy(F.expr("h div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("bits"))
+
+
+def maybe_in(df: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
+    """Rows whose id may be among those of the bitmap; an exact join has to follow."""
+    h = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(BITS))
+    marked = df.withColumn("_bit", h).withColumn("word", F.expr("_bit div 64"))
+    return marked.join(F.broadcast(bitmap), "word").where(F.expr("shiftright(bits, cast(_bit % 64 as int)) & 1") == 1).drop("_bit", "word", "bits")
+
+
+#: Rows of (long, long) that may be broadcast: about 64 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcasts a table whose counted rows are few enough, else leaves the join to Spark."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccardjoin import op7_jaccard_join
 from .langid import op1_language_id
 from .pivotsearch import op4_pivot_topk
 from .sharding import op10_virtual_slots
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_url_filter": op2_url_filter,
         "op4_pivot_topk": op4_pivot_topk,
         "op6_token_counts": op6_token_counts,
+        "op7_jaccard_join": op7_jaccard_join,
         "op8_toxicity": op8_toxicity,
         "op9_token_files": op9_token_files,
         "op10_virtual_slots": op10_virtual_slots,

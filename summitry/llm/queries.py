@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op5_decontaminate
 from .jaccardjoin import op7_jaccard_join
 from .langid import op1_language_id
+from .pieces import op3_nbest_pieces
 from .pivotsearch import op4_pivot_topk
 from .sharding import op10_virtual_slots
 from .tokencount import op6_token_counts
@@ -16,16 +18,25 @@ from .toxicity import op8_toxicity
 from .urlfilter import op2_url_filter
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_url_filter": op2_url_filter,
+        "op3_nbest_pieces": op3_nbest_pieces,
         "op4_pivot_topk": op4_pivot_topk,
+        "op5_decontaminate": op5_decontaminate,
         "op6_token_counts": op6_token_counts,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_toxicity": op8_toxicity,
         "op9_token_files": op9_token_files,
         "op10_virtual_slots": op10_virtual_slots,
+        "pipeline": pipeline,
     }
 
 

@@ -4,7 +4,8 @@ Vectors become integers, floor(scale * x).  For a handful of pivots the distance
 of every vector to each pivot is tabulated; by the triangle inequality
 ``max_p |d(q, p) - d(x, p)|`` bounds d(q, x) from below, hence the inner product
 ``(|q|^2 + |x|^2 - d^2) / 2`` from above.  Each query walks its candidates in
-order of that bound and stops exactly when the next bound is under its k-th score.
+order of that bound, those of the highest bounds first, and stops exactly: what is
+left out has a bound under the query's k-th score.
 
 The stated queries meet all rows in blocks: queries are cut into blocks of
 ``query_block`` rows, candidates into blocks of ``candidate_block``; every cell
@@ -32,8 +33,9 @@ N_PIVOTS = 16
 PIVOT_SAMPLE = 2000
 QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 8192
-#: Candidates that a query takes at a time, in bound order.
-STEP = 1024
+#: Candidates of the highest bounds that a query evaluates first.
+STEP = 128
+QUERIES_AT_ONCE = 128
 
 
 def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
@@ -88,11 +90,26 @@ def upper_bounds(q: np.ndarray, x: np.ndarray, pivots: np.ndarray) -> np.ndarray
 
 
 def exact_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Whole-number inner products; 64-bit floats while they are exact, else Python's integers."""
+    """Whole-number inner products (queries, rows): the narrowest floats that hold them exactly, else integers."""
     most = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[-1]
     if most < 2**53:
-        return (x @ q).astype(np.int64)
-    return np.array([sum(int(a) * int(b) for a, b in zip(q, row)) for row in x], dtype=object)
+        kind = np.float32 if most < 2**24 else np.float64
+        return (q.astype(kind, copy=False) @ x.astype(kind, copy=False).T).astype(np.float64, copy=False)
+    whole = [[int(v) for v in row] for row in x]
+    out = np.empty((len(q), len(x)), dtype=object)
+    for i, row in enumerate(q):
+        left = [int(v) for v in row]
+        out[i] = [sum(a * b for a, b in zip(left, right)) for right in whole]
+    return out
+
+
+def kth_best(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest value of each row, or -inf for shorter rows."""
+    if scores.shape[1] < k:
+        return np.full(len(scores), -np.inf)
+    if scores.dtype == object:
+        return np.array([sorted(row, reverse=True)[k - 1] for row in scores], dtype=object)
+    return np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
 
 
 def search_block(q_ids, q: np.ndarray, x_ids, x: np.ndarray, pivots: np.ndarray, k: int) -> list[tuple]:
@@ -100,32 +117,32 @@ def search_block(q_ids, q: np.ndarray, x_ids, x: np.ndarray, pivots: np.ndarray,
     out = []
     by_id = np.argsort(x_ids, kind="stable")
     x_ids, x = x_ids[by_id], x[by_id]
-    for at in range(0, len(q), 256):
-        bounds = upper_bounds(q[at : at + 256], x, pivots)
-        for i, bound in enumerate(bounds):
-            qid, vec = q_ids[at + i], q[at + i]
-            bound[x_ids == qid] = -np.inf
-            left, top, seen = np.arange(len(x)), None, 0
-            step = STEP
-            while True:
-                if len(left) > step:
-                    cut = np.argpartition(-bound[left], step)
-                    take, left = left[cut[:step]], left[cut[step:]]
-                else:
-                    take, left = left, left[:0]
-                take = take[x_ids[take] != qid]
-                scores = exact_products(vec, x[take])
-                seen += len(take)
-                if top is not None:
-                    take, scores = np.concatenate((top[0], take)), np.concatenate((top[1], scores))
-                best = np.lexsort((x_ids[take], -scores))[:k]
-                top = take[best], scores[best]
-                if len(top[0]) == k:
-                    left = left[bound[left] >= float(top[1][-1])]
-                if not len(left):
-                    break
-                step = len(left) if len(left) < 4 * STEP else STEP
-            out += [(int(qid), int(x_ids[t]), int(s), seen) for t, s in zip(*top)]
+    for at in range(0, len(q), QUERIES_AT_ONCE):
+        ids, vecs = q_ids[at : at + QUERIES_AT_ONCE], q[at : at + QUERIES_AT_ONCE]
+        bounds = upper_bounds(vecs, x, pivots)
+        own = x_ids[None, :] == ids[:, None]
+        bounds[own] = -np.inf
+        # the candidates of the highest bounds set each query's bar ...
+        step = min(len(x), max(STEP, 2 * k))
+        bar = np.full(len(vecs), -np.inf, dtype=object if np.abs(x).max(initial=0) > 2**26 else float)
+        if step < len(x):
+            first = np.argpartition(bounds, len(x) - step, axis=1)[:, -step:]
+            for i, take in enumerate(first):
+                take = take[bounds[i, take] > -np.inf]
+                bar[i] = kth_best(exact_products(vecs[i : i + 1], x[take]), k)[0]
+        # ... and whatever is bounded below the bar is out; the rest is evaluated
+        alive = bounds >= bar.astype(float)[:, None]
+        alive &= ~own
+        columns = np.flatnonzero(alive.any(0))
+        scores = exact_products(vecs, x[columns])
+        alive = alive[:, columns]
+        scores[~alive] = -np.inf
+        least = kth_best(scores, k)
+        for i, row in enumerate(scores):
+            hit = np.flatnonzero(alive[i] & (row >= least[i]))
+            hit = hit[np.lexsort((x_ids[columns[hit]], -row[hit]))][:k]
+            seen = int(alive[i].sum())
+            out += [(int(ids[i]), int(x_ids[columns[t]]), int(row[t]), seen) for t in hit]
     return out
 
 

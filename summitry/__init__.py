@@ -1,0 +1 @@
+"""Density-peaks clustering and similarity analytics as Spark DataFrame plans."""

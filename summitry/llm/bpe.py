@@ -1,10 +1,13 @@
 """Byte-level BPE ids of whole texts, word by word.
 
 The vocabulary's own pattern cuts a text into words that are encoded one by one,
-so the ids of a word can be remembered.  Each worker keeps a bounded memory of
-words; the tokenizers library encodes what isn't there, in batches.  Texts with
-characters outside the Latin blocks, or with a special token's string in them, go
-to the library whole, so that the result is always the library's.
+so the ids of a word can be remembered.  Most texts are cut at single blanks first:
+a blank before any other character than white space begins a word, so the words
+of the parts, each with its blank, are the words of the text.  Each worker keeps a
+bounded memory of parts and words; the tokenizers library's model encodes what
+isn't there.  Texts with characters outside the Latin blocks, or with a special
+token's string in them, go to the library whole, so that the result is always the
+library's.
 """
 
 from __future__ import annotations
@@ -14,14 +17,27 @@ import hashlib
 import os
 import re
 
-#: Words that a worker remembers before it starts afresh.
+#: Parts and words that a worker remembers before it starts afresh.
 MEMORY = 300_000
 
 #: Control characters that count as white space to some libraries only are left out.
 _PLAIN = re.compile(r"[\x00-\x1b\x20-\x84\x86-ɏ]*")
+#: Letters and numbers among these characters.
+_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
+#: The vocabulary's pattern, for these characters.
+_words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_N}{_L}]+|\s+(?!\S)|\s+").findall
+#: A blank before white space or the end belongs to no word's beginning.
+_loose = re.compile(r" (?:\s|\Z)").search
 _open: dict[str, "WordEncoder"] = {}
 
 
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 def version(path: str) -> str:
     """Digest of the tokenizer file."""
     with open(path, "rb") as f:
@@ -36,17 +52,16 @@ def default_path() -> str:
 
 class WordEncoder:
     def __init__(self, path: str):
-        import public_tokenizers
-        import regex
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.words = regex.compile(public_tokenizers.PATTERN).findall
+        self.model, self.characters = self.library.model, _byte_characters()
         specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, specials))).search if specials else lambda text: None
-        self.memory: dict[str, bytes] = {}
+        #: ids of words, and of parts with their blank in front; token counts of parts
+        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.counts: dict[str, int] = {}
 
     @staticmethod
@@ -59,57 +74,69 @@ class WordEncoder:
     def _plain(self, text: str) -> bool:
         return _PLAIN.fullmatch(text) is not None and not self.special(text)
 
+    def _cut(self, text: str) -> bytes:
+        """Ids of a plain text or part, by its words."""
+        known, out = self.known, []
+        for word in _words(text):
+            ids = known.get(word)
+            if ids is None:
+                shown = word.encode().decode("latin-1").translate(self.characters)
+                ids = known[word] = array.array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            out.append(ids)
+        return b"".join(out)
+
     def _learn(self, lists: list[list[str]]) -> None:
-        known = self.memory
-        new = set().union(*lists).difference(known) if lists else ()
-        if new:
-            if len(known) + len(new) > MEMORY:
-                known.clear()
-                self.counts.clear()
-                new = set().union(*lists)
-            new = list(new)
-            for word, e in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-                ids = e.ids
-                known[word] = array.array("I", ids).tobytes()
-                self.counts[word] = len(ids)
+        new = set().union(*lists).difference(self.parts) if lists else ()
+        if len(self.parts) + len(new) > MEMORY or len(self.known) > MEMORY:
+            for memory in (self.known, self.parts, self.counts):
+                memory.clear()
+            new = set().union(*lists)
+        for part in new:
+            ids = self.parts[part] = self._cut(" " + part)
+            self.counts[part] = len(ids) // 4
 
     def _each(self, texts: list[str], block: int = 1 << 20):
-        """Blocks of (places, word lists) of plain texts, then (place, ids) of the others."""
-        places, lists, size = [], [], 0
+        """Blocks of (places, beginnings, parts) of cut texts, then (place, ids) of the others."""
+        places, begins, lists, size = [], [], [], 0
         for i, text in enumerate(texts):
             if not self._plain(text):
-                yield None, (i, self.library.encode(text, add_special_tokens=False).ids)
-                continue
-            places.append(i)
-            lists.append(self.words(text))
-            size += len(text)
-            if size >= block:
-                self._learn(lists)
-                yield places, lists
-                places, lists, size = [], [], 0
+                ids = self.library.encode(text, add_special_tokens=False).ids
+                yield i, array.array("I", ids).tobytes()
+            elif _loose(text):
+                yield i, self._cut(text)
+            else:
+                first, *rest = text.split(" ")
+                places.append(i)
+                begins.append(self._cut(first))
+                lists.append(rest)
+                size += len(text)
+                if size >= block:
+                    self._learn(lists)
+                    yield None, (places, begins, lists)
+                    places, begins, lists, size = [], [], [], 0
         if places:
             self._learn(lists)
-            yield places, lists
+            yield None, (places, begins, lists)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out = [b""] * len(texts)
-        for places, found in self._each(texts):
-            if places is None:
-                out[found[0]] = array.array("I", found[1]).tobytes()
+        for place, found in self._each(texts):
+            if place is not None:
+                out[place] = found
             else:
-                known = self.memory
-                for i, words in zip(places, found):
-                    out[i] = b"".join([known[w] for w in words])
+                get = self.parts.__getitem__
+                for i, begin, parts in zip(*found):
+                    out[i] = begin + b"".join(map(get, parts))
         return out
 
     def count(self, texts: list[str]) -> list[int]:
         out = [0] * len(texts)
-        for places, found in self._each(texts):
-            if places is None:
-                out[found[0]] = len(found[1])
+        for place, found in self._each(texts):
+            if place is not None:
+                out[place] = len(found) // 4
             else:
                 get = self.counts.__getitem__
-                for i, words in zip(places, found):
-                    out[i] = sum(map(get, words))
+                for i, begin, parts in zip(*found):
+                    out[i] = len(begin) // 4 + sum(map(get, parts))
         return out

@@ -15,7 +15,8 @@ Edge cases: vectors that are null, empty or hold null or non-finite components
 take no part; vectors of unlike length are compared over the shorter one padded
 with zeros; equal scores go to the smaller id; repeated ids are separate
 candidates, but never candidates of a query with that id; with fewer candidates
-than k all are returned; an empty table gives no rows.
+than k all are returned; products are exact up to 64 bits, and an error beyond;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -157,16 +158,16 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, n_pivots: int = N_PI
     pivots = choose_pivots(matrix([r.v for r in sample], width), n_pivots)
     n_cand, n_query = max(1, -(-shape["n"] // CANDIDATE_BLOCK)), max(1, -(-shape["q"] // QUERY_BLOCK))
     cell = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
-    queries = rows.where(F.col("vec_id") % every == 0).select(cell(n_query, 1).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_cand - 1))).alias("cb"), "vec_id", "v", F.lit(True).alias("is_query"))
-    candidates = rows.select(F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).alias("qb"), cell(n_cand, 2).alias("cb"), "vec_id", "v", F.lit(False).alias("is_query"))
+    queries = rows.where(F.col("vec_id") % every == 0).select(cell(n_query, 1).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_cand - 1))).alias("cb"), F.col("vec_id").alias("query_id"), F.col("v").alias("query"))
+    candidates = rows.select(F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).alias("to_qb"), cell(n_cand, 2).alias("to_cb"), "vec_id", "v")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(left) and len(right):
-            found = search_block(left.vec_id.to_numpy(), matrix(left.v.to_list(), width), right.vec_id.to_numpy(), matrix(right.v.to_list(), width), pivots, k)
+            found = search_block(left.query_id.to_numpy(), matrix(left["query"].to_list(), width), right.vec_id.to_numpy(), matrix(right.v.to_list(), width), pivots, k)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score", "evaluated"])
 
-    found = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInPandas(search, "query_id long, vec_id long, score long, evaluated long")
+    found = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("to_qb", "to_cb")).applyInPandas(search, "query_id long, vec_id long, score long, evaluated long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "evaluated")
 

@@ -81,10 +81,10 @@ def edit_map(shard: list[int], sums: dict[int, int], n_shards: int, tolerance: f
     mean = sum(load) / n_shards
     for _ in range(len(shard)):
         high, low = max(range(n_shards), key=load.__getitem__), min(range(n_shards), key=load.__getitem__)
-        gap = load[high] - load[low]
-        if gap <= tolerance * mean:
+        if load[high] - load[low] <= tolerance * mean:
             break
-        fit = max(((size, slot) for size, slot in held[high] if 0 < size < gap and size <= gap / 2 + tolerance * mean), default=None)
+        room = min(load[high] - mean, mean - load[low]) + tolerance * mean / 4
+        fit = max(((size, slot) for size, slot in held[high] if 0 < size <= room), default=None)
         if fit is None:
             break
         held[high].remove(fit)

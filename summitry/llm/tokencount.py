@@ -6,7 +6,7 @@ change would alter the count) and digested; digests join the stored counts of
 this tokenizer version; one text of each missing digest is encoded and appended.
 
 Edge cases: null and empty texts have 0 bytes and 0 tokens; copies are encoded
-once; repeated rows stay; null ids are kept; an empty table gives no rows; other
+once (rows that repeat both id and text may be encoded twice); repeated rows stay; null ids are kept; an empty table gives no rows; other
 columns of the input play no part.
 """
 

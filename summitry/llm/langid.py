@@ -235,7 +235,7 @@ def predict(docs: DataFrame, network: Network) -> DataFrame:
     return docs.select("doc_id", common.held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, network: Network, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, network: Network, least: float = 0.35) -> DataFrame:
     """Rows whose language is known with a pooled probability of ``least``; all columns."""
 
     def run(batches):

@@ -7,7 +7,8 @@ item gets a SimHash of its weighted shingles.  Fingerprints of items are indexed
 by blocks of bits: two fingerprints within ``RADIUS`` differ by at most RADIUS //
 BLOCKS bits in some block, so probing each block with all values that near finds
 every item within the radius.  Candidates are verified by the exact weighted
-Jaccard similarity of window and item.
+overlap of window and item: the weight of the item's shingles that the window holds,
+as a share of the item's weight, so that a changed word costs its shingles once.
 
 Windows without a shingle of any item have similarity 0; a lookup of shingle
 hashes leaves them out before any fingerprint is taken, and loses nothing.
@@ -34,7 +35,7 @@ from . import bytesops, common
 
 SIMILARITY = 0.8
 #: Bits that fingerprints may differ by, and the blocks of the index.
-RADIUS, BLOCKS = 20, 8
+RADIUS, BLOCKS = 24, 8
 #: Items sent to the executors at a time.
 SLICE = 20_000
 
@@ -61,11 +62,11 @@ def window_fingerprints(hashes: np.ndarray, weights: np.ndarray, size: int) -> n
     return np.packbits(total > 0, axis=1).reshape(-1).view(np.uint64)
 
 
-def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Sum of least over sum of greatest weights, shingles counted as often as they occur."""
-    names, where = np.unique(np.concatenate((a[0], b[0])), return_inverse=True)
-    x, y = (np.bincount(w, v, len(names)) for w, v in ((where[: len(a[0])], a[1]), (where[len(a[0]) :], b[1])))
-    total = np.maximum(x, y).sum()
+def weighted_overlap(window: tuple[np.ndarray, np.ndarray], item: tuple[np.ndarray, np.ndarray]) -> float:
+    """Share of the item's weight that the window holds, shingles counted as often as they occur."""
+    names, where = np.unique(np.concatenate((window[0], item[0])), return_inverse=True)
+    x, y = (np.bincount(w, v, len(names)) for w, v in ((where[: len(window[0])], window[1]), (where[len(window[0]) :], item[1])))
+    total = y.sum()
     return float(np.minimum(x, y).sum() / total) if total else 0.0
 
 
@@ -149,7 +150,7 @@ class Benchmark:
             if len(h) >= size:
                 for window, item, distance in zip(*self.index[n].search(window_fingerprints(h, w, size))):
                     name, ih, iw = self.items[n][item]
-                    similarity = weighted_jaccard((h[window : window + size], w[window : window + size]), (ih, iw))
+                    similarity = weighted_overlap((h[window : window + size], w[window : window + size]), (ih, iw))
                     key = (-similarity, low + window)
                     if similarity >= SIMILARITY and (item not in best or key < best[item][0]):
                         best[item] = (key, int(distance))

@@ -273,6 +273,7 @@ def test_decontamination(spark):
     edited = list(items[0])
     edited[0] = "changed"
     cut = items[1][:15] + words(15)
+    middle = items[1][:14] + ["changed"] + items[1][15:]
     texts = [
         " ".join(words(50) + items[0] + words(40)),
         "### ".join(items[1]).upper(),
@@ -283,10 +284,11 @@ def test_decontamination(spark):
         " ".join(items[0]) + " mid " + " ".join(items[2]),
         None,
         "",
+        " ".join(words(33) + middle + words(20)),
     ]
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(9, None), (8, "")], "item_id long, text string")
     found = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(documents(spark, texts), bench).collect()}
-    assert set(found) == {(0, 0), (1, 1), (2, 0), (4, 2), (5, 3), (6, 0), (6, 2)}
+    assert set(found) == {(0, 0), (1, 1), (2, 0), (4, 2), (5, 3), (6, 0), (6, 2), (9, 1)}
     assert found[0, 0].first_word == 50 and found[0, 0].distance == 0 and found[2, 0].similarity < 1
     kept = decontaminate.keep_uncontaminated(documents(spark, texts), bench)
     assert sorted(r.doc_id for r in kept.collect()) == [3, 7, 8]
@@ -306,7 +308,7 @@ def test_items_in_slices(spark, monkeypatch):
 def test_hamming_index_finds_all_within_the_radius():
     rng = np.random.default_rng(3)
     items = rng.integers(0, 1 << 63, 40, dtype=np.int64).view(np.uint64)
-    near = np.concatenate([items ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, (len(items), k), True).astype(np.uint64), axis=1) for k in (1, 9, 20, 24)])
+    near = np.concatenate([items ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, (len(items), k), True).astype(np.uint64), axis=1) for k in (1, 9, 24, 28)])
     got = {(int(w), int(i)) for w, i, _ in zip(*decontaminate.HammingIndex(items).search(near))}
     want = {(w, i) for w in range(len(near)) for i in range(len(items)) if int(near[w] ^ items[i]).bit_count() <= decontaminate.RADIUS}
     assert got == want

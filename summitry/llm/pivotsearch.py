@@ -173,4 +173,4 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, n_pivots: int = N_PI
 
 
 def op4_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(common.table(spark, sf_dir, "embeddings"))
+    return top_k(common.table(spark, sf_dir, "embeddings")).drop("evaluated")

@@ -11,12 +11,15 @@ Empty subsets are not signed.  A set that could lose its only equal subset that
 way signs under further cuts, in the end under its band alone (see ``sign``), so
 no pair is lost.
 
+More parts than one agree where a set has slack: it then shares at least ``need``
+signatures with any partner.  Sets that share fewer with all others together have
+no partner and leave at once, which are most sets that only have a common passage.
+
 Pairs are found without emitting groups' pairs: every set is first checked against
 one leader, the first set of the signature groups that it is in most often.  The
 verified links give components, and only members of different components that
-share a signature are checked further.  Of signatures with more than ``HOT`` sets,
-only sets stay that need them: a set whose remaining signatures still cover every
-possible partner (its slack) can do without.
+share enough signatures are checked further.  They meet by the rarest signatures of
+each: of those that a set shares, all but the ``need`` - 1 most frequent.
 
 Edge cases: null and empty texts have no shingles and no links; fewer than five
 words make one shingle; rows with a null id are returned with a null component;
@@ -41,8 +44,6 @@ from .components import components
 PERCENT = 80
 #: Cuts of the domain that a set with too many empty pieces goes through.
 SEEDS = 4
-#: Sets of a signature group up to which all its unlinked pairs are checked.
-HOT = 64
 #: Members checked against one copy of a leader.
 GROUP = 500
 
@@ -71,16 +72,16 @@ def bands_of(n: int) -> list[int]:
     return [band, band + 1] if 100 * n // PERCENT >= 2 << band else [band]
 
 
-def sign(u: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Signatures of a sorted set of uniform 64-bit hashes, and the slack of each cut.
+def sign(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a sorted set of uniform 64-bit hashes, and the need of each one's cut.
 
-    The low byte of a signature names its band and cut.  Slack counts the parts
-    whose signatures the set can do without; a negative one sends it to the next
-    cut.  Two sets both go through every cut up to the first at which one of them
-    has slack, and that one's guarantee covers the pair; sets without slack in any
-    cut of a band sign under the band alone.
+    The low byte of a signature names its band and cut.  Slack counts the parts that
+    agree with any partner beyond the first, and need is one more; without slack
+    (need 0) a set goes on to the next cut.  Two sets both go through every cut up to
+    the first at which one of them has slack, and that one's guarantee covers the
+    pair; sets without slack in any cut of a band sign under the band alone.
     """
-    found, slacks = [], []
+    found, needs = [], []
     n = len(u)
     for band in bands_of(n):
         n1, n2, k2 = CUTS[band]
@@ -99,15 +100,15 @@ def sign(u: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
                 key = part[some] * np.uint64(64 * 256) + np.uint64(which * 256) + tag
                 found.append((mix(content[some][:, subset].sum(1, dtype=np.uint64) + mix(key)) & ~np.uint64(255)) | tag)
             bare = int(((~filled).sum(1) >= n2 - k2).sum())
-            slack = n1 - 1 - difference(n) // (k2 + 1) - bare
-            slacks.append((int(tag), slack))
-            if slack >= 0:
+            need = max(0, n1 - difference(n) // (k2 + 1) - bare)
+            needs += [need] * (len(found) - len(needs))
+            if need:
                 break
         else:
             tag = np.uint64(band * 8 + SEEDS)
             found.append((mix(np.array([band + 1], np.uint64)) & ~np.uint64(255)) | tag)
-            slacks.append((int(tag), -1))
-    return np.concatenate(found), slacks
+            needs.append(0)
+    return np.concatenate(found), np.repeat(np.array(needs, np.int32), [len(f) for f in found])
 
 
 def shingle_sets(texts: list[bytes]):
@@ -134,50 +135,36 @@ def describe(docs: DataFrame) -> DataFrame:
                 n[i], d[i] = len(u), digest(u)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(d[:, 0]), pa.array(d[:, 1])], names=["doc_id", "n", "d1", "d2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
+    return common.in_arrow(docs.select("doc_id", "text"), run, "doc_id long, n long, d1 long, d2 long", "jaccard")
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(sig, doc) of all sets, less the exact copies that a task meets again."""
+    """(sig, doc, need) of all sets, less the exact copies that a task meets again."""
+
+    def batch(rows: list[tuple]):
+        sigs, ids, needs = (np.concatenate(x) for x in zip(*rows))
+        return pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(ids), pa.array(needs)], names=["sig", "doc", "need"])
 
     def run(batches):
         seen = set()
         for b in batches:
             ids = b.column("doc_id").to_pylist()
-            texts = bytesops.texts_of(b.column("text"))
-            sigs, docs_, size = [], [], 0
-            for i, u in shingle_sets(texts):
-                if not len(u):
-                    continue
+            rows, size = [], 0
+            for i, u in shingle_sets(bytesops.texts_of(b.column("text"))):
                 key = digest(u)
-                if key in seen:
+                if not len(u) or key in seen:
                     continue
                 seen.add(key)
-                found, _ = sign(u)
-                sigs.append(found)
-                docs_.append(np.full(len(found), ids[i], np.int64))
+                found, needs = sign(u)
+                rows.append((found, np.full(len(found), ids[i], np.int64), needs))
                 size += len(found)
                 if size >= 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(docs_))], names=["sig", "doc"])
-                    sigs, docs_, size = [], [], 0
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(docs_))], names=["sig", "doc"])
-
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "sig long, doc long")
-
-
-def slack_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc, tag, slack) of the documents in ``ids`` (column doc)."""
-
-    def run(batches):
-        for b in batches:
-            ids_, rows = b.column("doc_id").to_pylist(), []
-            for i, u in shingle_sets(bytesops.texts_of(b.column("text"))):
-                rows += [(ids_[i], tag, slack) for tag, slack in (sign(u)[1] if len(u) else ())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["doc", "tag", "slack"])
+                    yield batch(rows)
+                    rows, size = [], 0
+            if rows:
+                yield batch(rows)
 
-    some = common.maybe_in(docs.select("doc_id", "text"), "doc_id", common.id_bitmap(ids, "doc"))
-    return some.mapInArrow(run, "doc long, tag long, slack long").join(ids, "doc", "left_semi").groupBy("doc", "tag").agg(F.min("slack").alias("slack"))
+    return common.in_arrow(docs.where("doc_id is not null").select("doc_id", "text"), run, "sig long, doc long, need int", "jaccard")
 
 
 def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -207,7 +194,7 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     dealt = texts.select("lead", "salt", "member", "doc_id", "text").repartition("lead", "salt").sortWithinPartitions("lead", "salt", "member")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return common.in_arrow(dealt, run, "a long, b long", "jaccard").distinct()
 
 
 def link_components(docs: DataFrame) -> DataFrame:
@@ -216,10 +203,15 @@ def link_components(docs: DataFrame) -> DataFrame:
     scratch = common.Scratch(docs.sparkSession, "jaccard")
     info = scratch.save(describe(docs), "info")
 
-    # groups of two and more sets with a signature in common, with their first set
-    group = Window.partitionBy("sig")
-    grouped = signatures(docs).withColumn("lead", F.min("doc").over(group)).withColumn("size", F.count("*").over(group)).where("size > 1")
-    shared = scratch.save(grouped, "shared")
+    # sets that share enough signatures for a partner, in groups with their first set
+    group, tag = Window.partitionBy("sig"), F.col("sig").bitwiseAND(255).alias("tag")
+    shared = scratch.save(signatures(docs).withColumn("size", F.count("*").over(group)).where("size > 1").select("sig", "doc", "need"), "shared")
+    live = shared.groupBy("doc", tag).agg(F.count("*").alias("c"), F.max("need").alias("need")).where("c >= need").select("doc").distinct()
+    live = scratch.save(live, "live")
+    shared = shared.join(common.small(live, live.count()), "doc", "left_semi")
+    shared = shared.withColumn("lead", F.min("doc").over(group)).withColumn("size", F.count("*").over(group)).where("size > 1")
+    shared = scratch.save(shared, "groups")
+    scratch.drop("shared")
 
     # exact copies, and each set with the leader of most of its groups
     same = info.where("n > 0 and doc_id is not null")
@@ -237,19 +229,19 @@ def link_components(docs: DataFrame) -> DataFrame:
     placed = shared.join(root("doc"), "doc", "left").withColumn("doc_root", F.coalesce("doc_root", "doc"))
     placed = placed.join(root("lead"), "lead", "left").withColumn("lead_root", F.coalesce("lead_root", "lead"))
     mixed = scratch.save(placed.where("doc_root <> lead_root").select("sig").distinct(), "mixed")
-    open_ = scratch.save(placed.join(common.small(mixed, mixed.count()), "sig", "left_semi").select("sig", "doc", "doc_root", "size"), "open")
-    tag = F.col("sig").bitwiseAND(255).alias("tag")
-    hot = open_.where(F.col("size") > HOT)
-    kept = open_.where(F.col("size") <= HOT)
-    if not hot.isEmpty():
-        lost = scratch.save(hot.groupBy("doc", tag).agg(F.count("*").alias("lost")), "lost")
-        slack = slack_of(docs, lost.select("doc").distinct())
-        needy = scratch.save(lost.join(slack, ["doc", "tag"]).where("lost > slack").select("doc", "tag"), "needy")
-        kept = kept.unionByName(hot.withColumn("tag", tag).join(needy, ["doc", "tag"], "left_semi").drop("tag"))
-    sized = kept.join(info.select(F.col("doc_id").alias("doc"), "n").groupBy("doc").agg(F.max("n").alias("n")), "doc").select("sig", "doc", "doc_root", "n")
-    left, right = (sized.select("sig", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "doc_root", "n"))) for s in "ab")
+    open_ = placed.join(common.small(mixed, mixed.count()), "sig", "left_semi").select("doc", tag, "doc_root", "need", F.struct("size", "sig").alias("s"))
+    lists = open_.groupBy("doc", "tag").agg(F.max("doc_root").alias("doc_root"), F.max("need").alias("need"), F.array_sort(F.collect_list("s")).alias("s"))
+    sizes = info.select(F.col("doc_id").alias("doc"), "n").groupBy("doc").agg(F.max("n").alias("n"))
+    lists = scratch.save(lists.join(sizes, "doc").withColumn("sigs", F.transform("s", lambda x: x["sig"])).drop("s").where("size(sigs) >= need"), "lists")
+    # partners share need signatures of each, so the rarest of them is among all but the need - 1 most frequent
+    rare = F.slice("sigs", F.lit(1), F.size("sigs") - F.greatest("need", F.lit(1)) + 1)
+    kept = lists.select("doc", "doc_root", "n", "tag", F.explode(rare).alias("sig"))
+    left, right = (kept.select("sig", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "doc_root", "n")), *(["tag"] if s == "a" else [])) for s in "ab")
     across = left.join(right, "sig").where("doc_a < doc_b and doc_root_a <> doc_root_b").where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-    pairs = across.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
+    pairs = across.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "tag").distinct()
+    of = lambda s: lists.select(F.col("doc").alias(s), "tag", F.col("need").alias(f"need_{s}"), F.col("sigs").alias(f"sigs_{s}"))
+    pairs = pairs.join(of("a"), ["a", "tag"]).join(of("b"), ["b", "tag"]).where(F.size(F.array_intersect("sigs_a", "sigs_b")) >= F.greatest("need_a", "need_b"))
+    pairs = pairs.select("a", "b").distinct()
     later_links = verify(docs, scratch.save(pairs, "pairs"))
 
     every = components(copies.unionByName(found.select(F.col("root").alias("a"), F.col("node").alias("b"))).unionByName(scratch.save(later_links, "later")), scratch, "all")

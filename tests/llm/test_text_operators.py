@@ -219,8 +219,7 @@ def test_jaccard_join_on_the_table(spark, sf_dir):
     assert got == brute_components(word_sets(rows))
 
 
-def test_jaccard_join_with_common_passages_and_chains(spark, monkeypatch):
-    monkeypatch.setattr(jaccardjoin, "HOT", 4)  # so that the rule for frequent signatures is at work
+def test_jaccard_join_with_common_passages_and_chains(spark):
     rng = random.Random(8)
     words = lambda n: [f"w{rng.randrange(100_000)}" for _ in range(n)]
     passage, base = words(60), words(80)

@@ -17,6 +17,8 @@ import hashlib
 import os
 import re
 
+from .common import remembered
+
 #: Parts and words that a worker remembers before it starts afresh.
 MEMORY = 300_000
 
@@ -28,7 +30,7 @@ _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
 _words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_N}{_L}]+|\s+(?!\S)|\s+").findall
 #: A blank before white space or the end belongs to no word's beginning.
 _loose = re.compile(r" (?:\s|\Z)").search
-_open: dict[str, "WordEncoder"] = {}
+_open: dict[str, "WordEncoder"] = remembered({})
 
 
 def _byte_characters() -> dict[int, str]:

@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from .common import remembered
+
 BLOCK_BYTES = 1 << 20
 SHINGLE = 5
 
@@ -53,11 +55,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _VALUES = _table(1)[LOWER]
-_powers = {"n": 0}
+_powers = remembered({})
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _powers["n"] < n:
+    if _powers.get("n", 0) < n:
         size = max(n, BLOCK_BYTES + (1 << 17))
         up = np.full(size, _BASE, np.uint64)
         up[0] = 1

@@ -7,12 +7,15 @@ in ``spark.checkpoint.dir``; a lost executor then costs one task, not a lineage.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
 import zlib
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,3 +110,47 @@ BROADCAST_ROWS = 1_000_000
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcasts a table whose counted rows are few enough, else leaves the join to Spark."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+#: What a batch that goes to Python holds at most: rows, and about as many bytes.
+BATCH_ROWS, BATCH_BYTES = 5000, 8 << 20
+#: Workers outlive tasks: whose memories they hold, and how to drop them.
+_tenant: dict = {"name": None, "memories": []}
+
+
+def remembered(memory):
+    """Registers a worker's memory (dict or list) that goes when another operator comes."""
+    _tenant["memories"].append(memory)
+    return memory
+
+
+def give_back() -> None:
+    """Returns freed memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def move_in(name: str) -> None:
+    """One operator at a time has its memories in a worker."""
+    if _tenant["name"] not in (None, name):
+        for memory in _tenant["memories"]:
+            memory.clear()
+        give_back()
+    _tenant["name"] = name
+
+
+def in_arrow(df: DataFrame, run, schema, name: str) -> DataFrame:
+    """mapInArrow over batches of bounded size, in a worker without other operators' memories."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def task(batches):
+        move_in(name)
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(task, schema)

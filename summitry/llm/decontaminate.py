@@ -219,7 +219,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(),) * 4 + (pa.int32(), pa.float64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "first_word", "n_words", "distance", "similarity"])
 
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, MATCHES)
+        return common.in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, MATCHES, "decontaminate")
 
     out = None
     for part in slices(benchmark):
@@ -240,7 +240,7 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return run
 
     for part in slices(benchmark):
-        docs = docs.mapInArrow(clean(part), docs.schema)
+        docs = common.in_arrow(docs, clean(part), docs.schema, "decontaminate")
     return docs
 
 

@@ -210,7 +210,7 @@ def training_windows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(windows, pa.binary())], names=["lang", "window"])
 
     limited = sample.orderBy("draw", F.crc32(F.encode("text", "UTF-8"))).limit(2 * per_language * len(counts))
-    rows = sorted(limited.mapInArrow(cut, "lang string, window binary").collect(), key=lambda r: (r["lang"], bytes(r["window"])))
+    rows = sorted(common.in_arrow(limited, cut, "lang string, window binary", "langid").collect(), key=lambda r: (r["lang"], bytes(r["window"])))
     languages = sorted({r["lang"] for r in rows})
     windows = np.frombuffer(b"".join(bytes(r["window"]) for r in rows), np.uint8).reshape(-1, LEARN_WINDOW)
     return languages, windows, np.array([languages.index(r["lang"]) for r in rows], int)
@@ -232,7 +232,7 @@ def predict(docs: DataFrame, network: Network) -> DataFrame:
             names, scores = network.label(bytesops.texts_of(b.column("text")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", common.held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return common.in_arrow(docs.select("doc_id", common.held_out().alias("held_out"), "text"), run, "doc_id long, held_out boolean, lang_pred string, score double", "langid")
 
 
 def keep_identified(docs: DataFrame, network: Network, least: float = 0.35) -> DataFrame:
@@ -243,7 +243,7 @@ def keep_identified(docs: DataFrame, network: Network, least: float = 0.35) -> D
             names, scores = network.label(bytesops.texts_of(b.column("text")))
             yield b.filter(pa.array([n != UNDETERMINED and s >= least for n, s in zip(names, scores)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.in_arrow(docs, run, docs.schema, "langid")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

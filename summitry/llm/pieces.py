@@ -40,14 +40,15 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 
 N_BEST = 3
-#: Units that a worker remembers before it starts afresh, and their longest text.
-MEMORY, LONGEST = 300_000, 48
+#: Words and units that a worker remembers before it starts afresh, and their longest text.
+#: A million words take about 0.4 GB; fewer only cost time.
+WORDS, UNITS, LONGEST = 200_000, 120_000, 48
 BLANK = "▁"
 #: Added to the least score for a character that no piece is.
 UNKNOWN = -10
 _NEVER = -(1 << 62)
 
-_open: dict[tuple[str, int], "Lattice"] = {}
+_open: dict[tuple, "Lattice"] = common.remembered({})
 _words = re.compile(r"▁*[^▁]+|▁+").findall
 
 
@@ -94,9 +95,11 @@ def best_paths(arcs: list[list[tuple[int, int, object]]], n: int) -> list[tuple[
 class Lattice:
     """A model's pieces, with remembered units."""
 
-    def __init__(self, path: str, n: int):
+    def __init__(self, path: str, n: int, most_words: int = WORDS, most_units: int = UNITS):
         import sentencepiece
 
+        self.most_words, self.most_units = most_words, most_units
+
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         size, self.n = sp.get_piece_size(), n
         self.vocabulary: dict[str, tuple[int, int]] = {}
@@ -114,13 +117,17 @@ class Lattice:
                 surfaces.append(piece.replace(BLANK, " ").encode())
         self.unknown_id = sp.unk_id()
         self.unknown_score = min(s for _, s in self.vocabulary.values()) + UNKNOWN
-        #: pieces by their characters; "" leads to (id, score)
+        #: pieces by their characters: each leads to (score or None, id, what may follow)
         self.trie: dict = {}
-        for piece, entry in self.vocabulary.items():
+        for piece, (i, score) in sorted(self.vocabulary.items()):
             node = self.trie
-            for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = entry
+            for k, c in enumerate(piece, 1):
+                was = node.get(c, (None, None, {}))
+                if k == len(piece):
+                    was = (score, i, was[2])
+                node[c] = was
+                node = was[2]
+        self.single = {p for p in self.vocabulary if len(p) == 1}
         self.neighbours = {p[k : k + 2] for p in self.vocabulary for k in range(len(p) - 1)}
         if any(BLANK in p.lstrip(BLANK) for p in self.vocabulary):
             raise ValueError("pieces with a blank inside would cross the words of a text")
@@ -132,12 +139,13 @@ class Lattice:
         self.rest: dict[str, list] = {}
 
     @staticmethod
-    def at(path: str, n: int) -> "Lattice":
-        if (path, n) not in _open:
-            _open[path, n] = Lattice(path, n)
+    def at(*key) -> "Lattice":
+        """The worker's own lattice of (path, n, most words, most units)."""
+        if key not in _open:
+            _open[key] = Lattice(*key)
             # remembered units are many small tuples without cycles: full collections would only walk them
             gc.set_threshold(100_000, 50, 1000)
-        return _open[path, n]
+        return _open[key]
 
     def ids_of(self, labels) -> array:
         """Piece ids of labels; a character without a piece becomes its bytes' pieces."""
@@ -154,41 +162,51 @@ class Lattice:
 
         Forward Viterbi with the two best prefixes of every place.
         """
-        size, root, unknown = len(text), self.trie, self.unknown_score
+        size, root = len(text), self.trie
         first, second = [_NEVER] * (size + 1), [_NEVER] * (size + 1)
-        back: list = [None] * (size + 1)
-        first[0] = 0
-        for i in range(size):
-            one, two = first[i], second[i]
-            node, end = root.get(text[i]), i + 1
-            if node is None or "" not in node:
-                if one + unknown > first[end]:
-                    second[end] = max(first[end], two + unknown)
-                    first[end], back[end] = one + unknown, (i, text[i])
-                elif one + unknown > second[end]:
-                    second[end] = one + unknown
-            while node is not None:
-                piece = node.get("")
-                if piece is not None:
-                    score = piece[1]
+        start_of: list = [0] * (size + 1)
+        label_of: list = [None] * (size + 1)
+        first[0], strange = 0, False
+        for i, c in enumerate(text):
+            one, two, nodes, end = first[i], second[i], root, i
+            if c not in self.single:
+                strange = True
+                self._reach(first, second, start_of, label_of, i, one + self.unknown_score, two + self.unknown_score, c)
+            while True:
+                step = nodes.get(c)
+                if step is None:
+                    break
+                score, piece, nodes = step
+                end += 1
+                if score is not None:
                     value, held = one + score, first[end]
                     if value > held:
                         other = two + score
                         second[end] = held if held > other else other
-                        first[end], back[end] = value, (i, piece[0])
+                        first[end], start_of[end], label_of[end] = value, i, piece
                     elif value > second[end]:
                         second[end] = value
                 if end == size:
                     break
-                node = node.get(text[end])
-                end += 1
+                c = text[end]
         labels, place = [], size
         while place:
-            place, label = back[place]
-            labels.append(label)
+            labels.append(label_of[place])
+            place = start_of[place]
         labels.reverse()
         loss = first[size] - second[size]
-        return first[size], self.ids_of(labels).tobytes(), loss if loss < -_NEVER // 2 else -1, text
+        ids = self.ids_of(labels) if strange else array("i", labels)
+        return first[size], ids.tobytes(), loss if loss < -_NEVER // 2 else -1, text
+
+    @staticmethod
+    def _reach(first, second, start_of, label_of, i: int, value: int, other: int, label: str) -> None:
+        """The arc of a character that no piece is."""
+        end = i + 1
+        if value > first[end]:
+            second[end] = max(first[end], other)
+            first[end], start_of[end], label_of[end] = value, i, label
+        elif value > second[end]:
+            second[end] = value
 
     def others(self, unit: tuple) -> list[tuple[int, bytes]]:
         """(loss, ids) of a unit's second best segmentation and on, by A-star search."""
@@ -198,16 +216,14 @@ class Lattice:
             size = len(text)
             arcs: list[list] = [[] for _ in range(size + 1)]
             for i in range(size):
-                node, end = self.trie.get(text[i]), i + 1
-                if node is None or "" not in node:
-                    arcs[end].append((i, self.unknown_score, text[i]))
-                while node is not None:
-                    if "" in node:
-                        arcs[end].append((i, node[""][1], node[""][0]))
-                    if end == size:
-                        break
-                    node = node.get(text[end])
+                nodes, end = self.trie, i
+                if text[i] not in self.single:
+                    arcs[i + 1].append((i, self.unknown_score, text[i]))
+                while end < size and text[end] in nodes:
+                    score, piece, nodes = nodes[text[end]]
                     end += 1
+                    if score is not None:
+                        arcs[end].append((i, score, piece))
             ways = [(score, self.ids_of(labels).tobytes()) for score, labels in best_paths(arcs, self.n)]
             if unit[1] in (ids for _, ids in ways):
                 ways = [w for w in ways if w[1] != unit[1]]
@@ -220,11 +236,8 @@ class Lattice:
 
     def word(self, text: str) -> tuple:
         """The units of a word: it is cut where no piece has the two characters side by side."""
-        cuts, near = [0], self.neighbours
-        for i in range(1, len(text)):
-            if text[i - 1 : i + 1] not in near:
-                cuts.append(i)
-        cuts.append(len(text))
+        near = self.neighbours
+        cuts = [0, *[i for i, pair in enumerate(map(str.__add__, text, text[1:]), 1) if pair not in near], len(text)]
         found = []
         for a, b in zip(cuts, cuts[1:]):
             part = text[a:b]
@@ -240,7 +253,7 @@ class Lattice:
         """The units of a whole text."""
         if not text:
             return []
-        if len(self.units) > MEMORY or len(self.words) > MEMORY:
+        if len(self.units) > self.most_units or len(self.words) > self.most_words:
             self.units.clear()
             self.words.clear()
             self.rest.clear()
@@ -318,15 +331,15 @@ def segmentations(docs: DataFrame, n: int = N_BEST, path: str | None = None) ->
                     names=["doc_id", "rank", "score", "ids"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, rank int, score long, ids array<int>")
+    return common.in_arrow(docs.select("doc_id", "text"), run, "doc_id long, rank int, score long, ids array<int>", "pieces")
 
 
-def digests(docs: DataFrame, n: int = N_BEST, path: str | None = None) -> DataFrame:
+def digests(docs: DataFrame, n: int = N_BEST, path: str | None = None, words: int = WORDS, units: int = UNITS) -> DataFrame:
     """doc_id, rank, score, n_pieces, ids_crc32 and whether the ids decode to the text."""
     path = path or default_path()
 
     def run(batches):
-        lattice = Lattice.at(path, n)
+        lattice = Lattice.at(path, n, words, units)
         for b in batches:
             rows = []
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
@@ -336,8 +349,9 @@ def digests(docs: DataFrame, n: int = N_BEST, path: str | None = None) -> DataFr
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["doc_id", "rank", "score", "n_pieces", "ids_crc32", "decodes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, rank int, score long, n_pieces long, ids_crc32 long, decodes boolean")
+    return common.in_arrow(docs.select("doc_id", "text"), run, "doc_id long, rank int, score long, n_pieces long, ids_crc32 long, decodes boolean", "pieces")
 
 
 def op3_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(common.table(spark, sf_dir, "documents"))
+    """Alone in its workers, with room for more words."""
+    return digests(common.table(spark, sf_dir, "documents"), words=800_000, units=500_000)

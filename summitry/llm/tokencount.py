@@ -38,7 +38,7 @@ def encode_counts(texts: DataFrame, path: str, tokenizer: str) -> DataFrame:
             counts = encoder.count([x or "" for x in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array([tokenizer] * len(counts), pa.string()), pa.array(counts, pa.int64())], names=["digest", "tokenizer", "n_tokens"])
 
-    return texts.select("digest", "text").mapInArrow(run, CACHE_SCHEMA)
+    return common.in_arrow(texts.select("digest", "text"), run, CACHE_SCHEMA, "bpe")
 
 
 def token_counts(docs: DataFrame, cache_path: str, limit: int = 512, path: str | None = None) -> DataFrame:

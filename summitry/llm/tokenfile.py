@@ -89,7 +89,7 @@ def write_token_files(docs: DataFrame, uri: str, end_id: int = 2, path: str | No
         yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([len(ids)], pa.int64()), pa.array([int(sum(sizes))], pa.int64()), pa.array([kind.itemsize], pa.int32())], names=["part", "docs", "ids", "width"])
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    parts = sorted(ordered.mapInArrow(run, "part string, docs long, ids long, width int").collect(), key=lambda r: r["part"])
+    parts = sorted(common.in_arrow(ordered, run, "part string, docs long, ids long, width int", "bpe").collect(), key=lambda r: r["part"])
     manifest, base, doc_base = [], 0, 0
     for r in parts:  # a row for each partition
         manifest.append(r.asDict() | {"base": base, "doc_base": doc_base})
@@ -143,7 +143,7 @@ def read_token_files(spark: SparkSession, uri: str) -> DataFrame:
 
     schema = "part string, docs long, ids long, width int, base long, doc_base long"
     parts = spark.createDataFrame(files.parts, schema).repartition(max(1, len(files.parts)))
-    return parts.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return common.in_arrow(parts, run, "doc_id long, start long, n_tokens long, ids_crc32 long", "bpe")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,7 +59,7 @@ def word_counts(sample: DataFrame) -> DataFrame:
             if texts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, toxic, words, counts)], names=["doc_id", "toxic", "word", "n"])
 
-    return sample.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, word long, n long")
+    return common.in_arrow(sample.select("doc_id", "toxic", "text"), run, "doc_id long, toxic int, word long, n long", "toxicity")
 
 
 def marked_words(counts: DataFrame, n0: int, n1: int) -> list[int]:
@@ -103,7 +103,7 @@ def document_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.nd
                 total += np.bincount(term, minlength=len(total))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(total))), pa.array(np.concatenate(([rows], total)))], names=["term", "n"])
 
-    sums = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    sums = {r["term"]: r["n"] for r in common.in_arrow(docs.select("text"), run, "term long, n long", "toxicity").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     return np.array([sums.get(t, 0) for t in range(len(vocabulary.words))], float), sums.get(-1, 0)
 
 
@@ -231,7 +231,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             )
 
     schema = "doc_id long, held_out boolean, score double, predicted int, nearest_id long, nearest_cosine double"
-    return docs.select("doc_id", common.held_out().alias("held_out"), "text").mapInArrow(run, schema)
+    return common.in_arrow(docs.select("doc_id", common.held_out().alias("held_out"), "text"), run, schema, "toxicity")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -242,7 +242,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
             s, _, _ = model.scores(bytesops.texts_of(b.column("text")))
             yield b.filter(pa.array([x < threshold for x in s], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.in_arrow(docs, run, docs.schema, "toxicity")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

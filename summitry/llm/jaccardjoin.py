@@ -19,7 +19,7 @@ Pairs are found without emitting groups' pairs: every set is first checked again
 one leader, the first set of the signature groups that it is in most often.  The
 verified links give components, and only members of different components that
 share enough signatures are checked further.  They meet by the rarest signatures of
-each: of those that a set shares, all but the ``need`` - 1 most frequent.
+each: of those that a set shares, all but the ``need`` - ``MEET`` most frequent.
 
 Edge cases: null and empty texts have no shingles and no links; fewer than five
 words make one shingle; rows with a null id are returned with a null component;
@@ -44,6 +44,8 @@ from .components import components
 PERCENT = 80
 #: Cuts of the domain that a set with too many empty pieces goes through.
 SEEDS = 4
+#: Rare signatures that two sets must have in common before all are compared.
+MEET = 2
 #: Members checked against one copy of a leader.
 GROUP = 500
 
@@ -233,12 +235,14 @@ def link_components(docs: DataFrame) -> DataFrame:
     lists = open_.groupBy("doc", "tag").agg(F.max("doc_root").alias("doc_root"), F.max("need").alias("need"), F.array_sort(F.collect_list("s")).alias("s"))
     sizes = info.select(F.col("doc_id").alias("doc"), "n").groupBy("doc").agg(F.max("n").alias("n"))
     lists = scratch.save(lists.join(sizes, "doc").withColumn("sigs", F.transform("s", lambda x: x["sig"])).drop("s").where("size(sigs) >= need"), "lists")
-    # partners share need signatures of each, so the rarest of them is among all but the need - 1 most frequent
-    rare = F.slice("sigs", F.lit(1), F.size("sigs") - F.greatest("need", F.lit(1)) + 1)
-    kept = lists.select("doc", "doc_root", "n", "tag", F.explode(rare).alias("sig"))
-    left, right = (kept.select("sig", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "doc_root", "n")), *(["tag"] if s == "a" else [])) for s in "ab")
+    # partners share need signatures of each; of the rarest of them, MEET are among all but the need - MEET most frequent
+    need = F.greatest("need", F.lit(1))
+    meet = F.least(need, F.lit(MEET))
+    kept = lists.select("doc", "doc_root", "n", "tag", meet.alias("meet"), F.explode(F.slice("sigs", F.lit(1), F.size("sigs") - need + meet)).alias("sig"))
+    left, right = (kept.select("sig", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "doc_root", "n", "meet")), *(["tag"] if s == "a" else [])) for s in "ab")
     across = left.join(right, "sig").where("doc_a < doc_b and doc_root_a <> doc_root_b").where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-    pairs = across.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "tag").distinct()
+    met = across.groupBy(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "tag").agg(F.count("*").alias("c"), F.min(F.least("meet_a", "meet_b")).alias("meet"))
+    pairs = met.where("c >= meet").select("a", "b", "tag")
     of = lambda s: lists.select(F.col("doc").alias(s), "tag", F.col("need").alias(f"need_{s}"), F.col("sigs").alias(f"sigs_{s}"))
     pairs = pairs.join(of("a"), ["a", "tag"]).join(of("b"), ["b", "tag"]).where(F.size(F.array_intersect("sigs_a", "sigs_b")) >= F.greatest("need_a", "need_b"))
     pairs = pairs.select("a", "b").distinct()

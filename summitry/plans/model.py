@@ -75,7 +75,7 @@ class Model:
         return [r.label for r in self.labels.orderBy("id").collect()], [r.id for r in self.peaks.orderBy("label").collect()]
 
 
-def fastdp(df: DataFrame, num_clusters: int, num_neighbors: int = 10, window: int = 20, nndes_start: float = 0.0, maxiter: int = 100, endcond: float = 0.05, distance: str = "l2", id_col: str = "id", value_col: str = "value") -> Model:
+def cluster_vectors(df: DataFrame, num_clusters: int, num_neighbors: int = 10, window: int = 20, nndes_start: float = 0.0, maxiter: int = 100, endcond: float = 0.05, distance: str = "l2", id_col: str = "id", value_col: str = "value") -> Model:
     """Clusters vectors; ``window`` bounds the leaves of the division."""
     if distance not in ("l2", "l1", "cos"):
         raise ValueError("distance is l2, l1 or cos")
@@ -83,7 +83,7 @@ def fastdp(df: DataFrame, num_clusters: int, num_neighbors: int = 10, window: in
     return DensityPeaks(num_clusters, num_neighbors, "rpdiv", distance, leaf_size=leaf, max_iter=maxiter, tol=endcond, nnd_start=nndes_start).fit(df, id_col, value_col)
 
 
-def fastdp_generic(df: DataFrame, distance: Callable, num_clusters: int, num_neighbors: int = 10, maxiter: int = 100, endcond: float = 0.05, id_col: str = "id", value_col: str = "value") -> Model:
+def cluster_by(df: DataFrame, distance: Callable, num_clusters: int, num_neighbors: int = 10, maxiter: int = 100, endcond: float = 0.05, id_col: str = "id", value_col: str = "value") -> Model:
     """Clusters by a callable over two pandas Series of values, a batch of pairs at a time."""
     return DensityPeaks(num_clusters, num_neighbors, "nndescent", distance, max_iter=maxiter, tol=endcond).fit(df, id_col, value_col)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from summitry.functions import distances, ngrams, vectors
 from summitry.operators import density, knn, quantize, ranking, validity
-from summitry.plans.model import DensityPeaks, fastdp, fastdp_generic
+from summitry.plans.model import DensityPeaks, cluster_vectors, cluster_by
 
 
 def one(spark, expression, **columns):
@@ -73,7 +73,7 @@ def test_graph_properties_and_recall(spark):
 def test_clusters_blobs(spark):
     df = blobs(spark)
     truth = df.select("id", F.col("truth").alias("label"))
-    for model in (DensityPeaks(3, 8, "brutef").fit(df), fastdp(df, 3, 8, maxiter=6), DensityPeaks(3, 8, "brutef", exact=True, tie_break="additive").fit(df)):
+    for model in (DensityPeaks(3, 8, "brutef").fit(df), cluster_vectors(df, 3, 8, maxiter=6), DensityPeaks(3, 8, "brutef", exact=True, tie_break="additive").fit(df)):
         assert model.evaluate(truth, ("ari", "nmi", "nvd")) == pytest.approx({"ari": 1, "nmi": 1, "nvd": 0})
     labels, peaks = model.collect()
     assert len(labels) == 120 and len(peaks) == 3 and [labels[p] for p in peaks] == [1, 2, 3]
@@ -90,7 +90,7 @@ def test_custom_distance(spark):
 
         return pd.Series(l2(a, b))
 
-    found = fastdp_generic(df, series, 3, 5, maxiter=4)
+    found = cluster_by(df, series, 3, 5, maxiter=4)
     assert found.evaluate(df.select("id", F.col("truth").alias("label")), ("ari",))["ari"] == pytest.approx(1)
 
 

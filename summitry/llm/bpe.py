@@ -19,7 +19,7 @@ import re
 
 from .common import remembered
 
-#: Parts and words that a worker remembers before it starts afresh.
+#: Parts that a worker remembers; when full they are kept for a second turn.
 MEMORY = 300_000
 
 #: Control characters that count as white space to some libraries only are left out.
@@ -59,11 +59,13 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.model, self.characters = self.library.model, _byte_characters()
+        self.blank = self.characters[32]
         specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, specials))).search if specials else lambda text: None
-        #: ids of words, and of parts with their blank in front; token counts of parts
+        #: ids of words, and of parts with their blank in front, now and before the memory was full; token counts of parts
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.counts: dict[str, int] = {}
 
     @staticmethod
@@ -82,20 +84,35 @@ class WordEncoder:
         for word in _words(text):
             ids = known.get(word)
             if ids is None:
-                shown = word.encode().decode("latin-1").translate(self.characters)
-                ids = known[word] = array.array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+                ids = known[word] = self._word(word)
             out.append(ids)
-        return b"".join(out)
+        return out[0] if len(out) == 1 else b"".join(out)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one word by the library's model."""
+        shown = word.encode().decode("latin-1").translate(self.characters)
+        return array.array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a part with its blank; letters alone are one word with it."""
+        if not part.isalpha():
+            return self._cut(" " + part)
+        if not part.isascii():
+            return self._word(" " + part)
+        return array.array("I", [t.id for t in self.model.tokenize(self.blank + part)]).tobytes()
 
     def _learn(self, lists: list[list[str]]) -> None:
         new = set().union(*lists).difference(self.parts) if lists else ()
-        if len(self.parts) + len(new) > MEMORY or len(self.known) > MEMORY:
-            for memory in (self.known, self.parts, self.counts):
-                memory.clear()
+        if len(self.parts) + len(new) > MEMORY:
+            self.older, self.parts = self.parts, {}
+            self.counts.clear()
             new = set().union(*lists)
-        for part in new:
-            ids = self.parts[part] = self._cut(" " + part)
-            self.counts[part] = len(ids) // 4
+        if len(self.known) > MEMORY:
+            self.known.clear()
+        old = self.older.get
+        found = {part: old(part) or self._part(part) for part in new}
+        self.parts.update(found)
+        self.counts.update(zip(found, (len(ids) // 4 for ids in found.values())))
 
     def _each(self, texts: list[str], block: int = 1 << 20):
         """Blocks of (places, beginnings, parts) of cut texts, then (place, ids) of the others."""

@@ -7,9 +7,11 @@ distance anywhere: it gets two pandas Series of values and returns one of floats
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -148,3 +150,90 @@ def pair_kernel(name: str, p: float | None = None) -> Callable[[np.ndarray, np.n
         return lambda a, b: 1 - (a * b).sum(-1) / np.sqrt((a * a).sum(-1) * (b * b).sum(-1))
     power = {"l1": 1.0, "l05": 0.5}.get(name, 1.0 if p is None else p)
     return lambda a, b: (np.abs(a - b) ** power).sum(-1)
+
+
+def reach(name: str, bound: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How far block distances may be rounded up from real ones of at most ``bound``, one for each row of a."""
+    eps = 16 * (a.shape[1] + 8) * 2.0**-52
+    if name == "l2":
+        return np.sqrt(bound**2 + eps * ((a * a).sum(1) + (b * b).sum(1).max(initial=0)))
+    return bound + eps * (4 if name == "cos" else bound)
+
+
+def _edit_distances(a: list[str], b: list[str]) -> np.ndarray:
+    """Unit-cost edit distances of all pairs; the table of all pairs goes forward a row at a time."""
+    m = max(map(len, b), default=0)
+    right = np.zeros((len(b), m), np.int64)
+    for i, x in enumerate(b):
+        right[i, : len(x)] = [ord(c) for c in x]
+    sizes, out = np.array([len(x) for x in b]), np.empty((len(a), len(b)))
+    steps = np.arange(m + 1)
+    for i, x in enumerate(a):
+        row = np.broadcast_to(steps, (len(b), m + 1)).astype(np.int64)
+        for j, c in enumerate(x, 1):
+            free = np.empty_like(row)
+            free[:, 0] = j
+            np.minimum(row[:, 1:] + 1, row[:, :-1] + (right != ord(c)), out=free[:, 1:])
+            # insertions: the least of what stands to the left plus the way from there
+            row = np.minimum.accumulate(free - steps, axis=1) + steps
+        out[i] = row[np.arange(len(b)), sizes] if len(b) else 0
+    return out
+
+
+def _grams(text: str, n: int) -> Counter:
+    return Counter(text[i : i + n] for i in range(len(text) - n + 1))
+
+
+def _gram_distance(x: Counter, y: Counter) -> float:
+    size = x.total() + y.total()
+    return 1 - 2 * (x & y).total() / size if size else 1.0
+
+
+def values_kernel(distance: str | Callable, p: float | None = None) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """(values, values) -> matrix of any distance, for neighbour graphs that try few pairs.
+
+    Values are rows of a matrix for vectors and objects otherwise; the last digits may
+    differ from the expression's.
+    """
+    if callable(distance):
+
+        def own(a, b):
+            right = pd.Series(list(b))
+            return np.stack([np.asarray(distance(pd.Series([x] * len(right)), right), float) for x in a]) if len(a) else np.empty((0, len(b)))
+
+        return own
+    known = block_kernel(distance, p)
+    if known is not None:
+        return known
+    rows = lambda f: lambda a, b: np.stack([f(x, b) for x in a]) if len(a) else np.empty((0, len(b)))
+    if distance in ("l2sq", "l2floor"):
+        squares = rows(lambda x, b: ((b - x) ** 2).sum(1))
+        return squares if distance == "l2sq" else lambda a, b: np.floor(np.sqrt(squares(a, b)))
+    if distance == "entropy":
+        return rows(lambda x, b: -np.log2(np.maximum(np.where(b > 0, x / 1e6, 1 - x / 1e6), 0.001)).sum(1))
+    if distance in ("bjaccard", "bdice"):
+        weight = 1 if distance == "bjaccard" else 2
+
+        def mismatch(x, b):
+            differ, both = ((x > 0) != (b > 0)).sum(1), ((x > 0) & (b > 0)).sum(1)
+            total = differ + weight * both
+            return np.where(total > 0, np.round(1e6 * differ / np.maximum(total, 1)), 0.0)
+
+        return rows(mismatch)
+    if distance == "lev":
+        return lambda a, b: _edit_distances(list(a), list(b))
+    if distance == "dice":
+
+        def strings(a, b):
+            left, right = ([(_grams(x, 3), _grams(x, 2)) for x in side] for side in (a, b))
+            return np.array([[0.9 * _gram_distance(x[0], y[0]) + 0.1 * _gram_distance(x[1], y[1]) for y in right] for x in left]).reshape(len(left), len(right))
+
+        return strings
+    if distance == "set":
+
+        def sets(a, b):
+            left, right = [set(x) for x in a], [set(x) for x in b]
+            return np.array([[1 - 2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0 for y in right] for x in left]).reshape(len(left), len(right))
+
+        return sets
+    raise ValueError(f"unknown distance {distance!r}")

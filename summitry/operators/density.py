@@ -67,10 +67,12 @@ def delta_by_scan(some: DataFrame, dens: DataFrame, pts: DataFrame, distance: st
                 ia, ib = a.id.to_numpy(), b.id.to_numpy()
                 denser = (db[None] > da[:, None]) | ((db[None] == da[:, None]) & (ib[None] > ia[:, None]))
                 rough[~denser] = np.inf
+                once = distances.reach(distance, rough.min(1), x, y)
+                reach = distances.reach(distance, once, x, y)
                 for i, row in enumerate(rough):
                     least = row.min()
                     if np.isfinite(least):
-                        near = np.flatnonzero(row <= least + 1e-7 * (1 + abs(least)))
+                        near = np.flatnonzero(row <= reach[i])
                         real = exact(x[i][None], y[near])
                         j = np.lexsort((ib[near], real))[0]
                         found.append((ia[i], ib[near][j], real[j]))

@@ -1,10 +1,9 @@
 """k-nearest-neighbour graphs as edge tables (src, dst, dist, rank).
 
 ``brute`` is exact: dense vectors go through a grid of blocks with a numpy kernel
-and keep k rows a cell, other types through a theta join whose top-k Catalyst cuts
-before the shuffle.  ``rpdiv`` routes all points through a tree of random pivot
-pairs and compares within leaves; ``nn_descent`` improves a graph by comparing
-neighbours of neighbours.  Both are deterministic in their seed.
+and keep k rows a cell, other types meet blocks of values as arrays.  ``rpdiv`` routes all points through trees of random pivot
+pairs and compares within leaves; descent improves a graph by comparing neighbours
+of neighbours.  Both are deterministic in their seed.
 """
 
 from __future__ import annotations
@@ -45,33 +44,57 @@ def top_k(edges: DataFrame, k: int) -> DataFrame:
     return edges.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+#: Values that travel as one array where only the expression of a distance exists.
+BOOK = 1024
+
+
+def _by_expression(pts: DataFrame, k: int, d: Callable[[Column, Column], Column]) -> DataFrame:
+    """Each point meets blocks of all points as arrays, and keeps k of each; no pair is a row."""
+    books = max(1, -(-pts.count() // BOOK))
+    block = F.pmod(F.xxhash64("id"), F.lit(books)).cast("int")
+    shelf = pts.groupBy(block.alias("j")).agg(F.collect_list(F.struct("id", "value")).alias("book"))
+    asked = pts.select(F.col("id").alias("src"), F.col("value").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(books - 1))).alias("j"))
+    others = F.filter("book", lambda x: x["id"] != F.col("src"))
+    found = F.slice(F.array_sort(F.transform(others, lambda x: F.struct(d(F.col("a"), x["value"]).alias("dist"), x["id"].alias("dst")))), 1, k)
+    return asked.join(shelf, "j").select("src", F.explode(found).alias("e")).select("src", "e.dst", "e.dist")
+
+
 def brute(df: DataFrame, k: int, distance: str | Callable = "l2", id_col: str = "id", value_col: str = "value", p: float | None = None) -> DataFrame:
-    """The exact graph."""
+    """The exact graph; equal distances go to the smaller id."""
     pts = points(df, id_col, value_col)
     kernel = None if callable(distance) or not _is_vector(pts) else distances.block_kernel(distance, p)
-    if kernel is None:
-        d = expression(distance, p)
-        left, right = pts.toDF("src", "a"), pts.toDF("dst", "b")
-        pairs = left.join(right, F.col("src") != F.col("dst")).select("src", "dst", d(F.col("a"), F.col("b")).alias("dist"))
-        return top_k(pairs, k)
-    exact = distances.pair_kernel(distance, p)
+    if kernel is None and not callable(distance):
+        return top_k(_by_expression(pts, k, expression(distance, p)), k)
+    exact = None if callable(distance) else distances.pair_kernel(distance, p)
 
-    def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"src": [], "dst": [], "dist": []})
+    def own(a: pd.DataFrame, b: pd.DataFrame):
+        for src, value in zip(a.id, a.value):
+            others = b[b.id != src]
+            real = np.asarray(distance(pd.Series([value] * len(others)), others.value.reset_index(drop=True)), float) if len(others) else np.empty(0)
+            yield src, others.id.to_numpy(), real
+
+    def dense_rows(a: pd.DataFrame, b: pd.DataFrame):
         x, y, left, right = dense(a.value), dense(b.value), a.id.to_numpy(), b.id.to_numpy()
-        src, dst, dist = [], [], []
+        if distance == "l2":  # smaller norms round less
+            centre = y.mean(0)
         for at in range(0, len(x), 512):
-            rough = kernel(x[at : at + 512], y)
+            u, v = (x[at : at + 512] - centre, y - centre) if distance == "l2" else (x[at : at + 512], y)
+            rough = kernel(u, v)
             rough[left[at : at + 512, None] == right[None]] = np.inf
-            spare = min(len(y), k + 8)  # the block form rounds, so a few more are measured again
-            near = np.argpartition(rough, spare - 1, axis=1)[:, :spare]
-            for i, some in enumerate(near):
-                some = some[np.isfinite(rough[i, some])]
-                real = exact(x[at + i][None], y[some])
-                best = np.lexsort((right[some], real))[:k]
-                src.append(np.full(len(best), left[at + i]))
-                dst.append(right[some][best])
+            kth = np.partition(rough, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
+            # whatever rounding may hide is measured again, ties included
+            least = distances.reach(distance, distances.reach(distance, kth, u, v), u, v)
+            for i, row in enumerate(rough):
+                some = np.flatnonzero((row <= least[i]) & np.isfinite(row))
+                yield left[at + i], right[some], exact(x[at + i][None], y[some])
+
+    def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        src, dst, dist = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0)]
+        if len(a) and len(b):
+            for i, ids, real in own(a, b) if callable(distance) else dense_rows(a, b):
+                best = np.lexsort((ids, real))[:k]
+                src.append(np.full(len(best), i))
+                dst.append(ids[best])
                 dist.append(real[best])
         return pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst), "dist": np.concatenate(dist)})
 
@@ -131,31 +154,46 @@ def random_graph(pts: DataFrame, k: int, seed: int, distance, p: float | None =
     return with_distance(pairs, pts, distance, p)
 
 
-#: Points from which a tree of pivots is grown, and points of a leaf of that tree.
-TREE_SAMPLE, GROUP = 20_000, 20_000
+#: Points of a leaf of the tree of pivots, and the sample from which it is grown: four a leaf within these bounds.
+GROUP = 20_000
+LEAST_SAMPLE, MOST_SAMPLE = 20_000, 400_000
+#: Divisions of one round.
+TREES = 3
+
 
+def _values(column) -> np.ndarray:
+    """Rows of a matrix for number arrays, objects otherwise."""
+    column = list(column)
+    if len(column) and isinstance(column[0], (np.ndarray, list)) and not isinstance(column[0][0] if len(column[0]) else "", str):
+        return dense(column)
+    out = np.empty(len(column), object)
+    for i, x in enumerate(column):
+        out[i] = tuple(x) if isinstance(x, (np.ndarray, list)) else x
+    return out
 
-def _split(x: np.ndarray, rng, kernel) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+
+def _split(x: np.ndarray, rng, kernel) -> tuple[np.ndarray, np.ndarray] | None:
     """Two different random pivots, and who is strictly nearer to the first."""
     order = rng.permutation(len(x))
     a = x[order[0]]
     other = next((i for i in order[1:] if not np.array_equal(x[i], a)), None)
     if other is None:
         return None
-    d = kernel(x, np.stack((a, x[other])))
+    pivots = x[[order[0], other]]
+    d = kernel(x, pivots)
     near = d[:, 0] < d[:, 1]
-    return (a, x[other], near) if near.any() and not near.all() else None
+    return (pivots, near) if near.any() and not near.all() else None
 
 
-def _leaf_edges(ids: np.ndarray, x: np.ndarray, k: int, leaf: int, rng, kernel, level: int = 0):
+def _leaf_edges(ids: np.ndarray, x: np.ndarray, k: int, leaf: int, rng, kernel):
     """Edges within the leaves of a recursive division; parts that cannot be split are cut in runs."""
-    stack = [(np.arange(len(ids)), level)]
+    stack = [(np.arange(len(ids)), 0)]
     while stack:
         part, depth = stack.pop()
-        if len(part) >= leaf and depth <= 30 + level:
+        if len(part) >= leaf and depth <= 30:
             made = _split(x[part], rng, kernel)
             if made is not None:
-                stack += [(part[made[2]], depth + 1), (part[~made[2]], depth + 1)]
+                stack += [(part[made[1]], depth + 1), (part[~made[1]], depth + 1)]
                 continue
         for at in range(0, len(part), max(2, leaf)):
             run = part[at : at + max(2, leaf)]
@@ -165,100 +203,149 @@ def _leaf_edges(ids: np.ndarray, x: np.ndarray, k: int, leaf: int, rng, kernel,
             yield np.repeat(ids[run], near.shape[1]), ids[run][near].ravel(), np.take_along_axis(d, near, 1).ravel()
 
 
-def divide(pts: DataFrame, k: int, leaf: int, seed: int, distance: str, p: float | None, n: int) -> DataFrame:
-    """One round of division: edges among points that fall into one leaf.
+def divide(pts: DataFrame, k: int, leaf: int, seed: int, distance: str | Callable, p: float | None, n: int, trees: int = 1) -> DataFrame:
+    """A round of divisions: edges among points that fall into one leaf of one of ``trees`` trees.
 
     A tree grown from a bounded sample deals the points into groups of about GROUP
-    points, which are divided on to leaves in the task that holds the group.
+    points, which are divided on to leaves in the task that holds the group.  Groups
+    that are larger, because the sample was, or many points are equal, are cut by hash.
     """
-    kernel = distances.block_kernel(distance, p)
-    rng = np.random.default_rng(seed)
+    kernel = distances.values_kernel(distance, p)
     want = max(1, n // GROUP)
-    tree: list[tuple] = []  # (pivot a, pivot b, left, right); children < 0 are groups
+    sample = None
     if want > 1:
-        sample = dense([r.value for r in pts.orderBy(F.xxhash64("id", F.lit(seed))).limit(TREE_SAMPLE).collect()])
-        size = max(4, len(sample) // want)
-        groups = 0
-
-        def grow(part: np.ndarray) -> int:
-            nonlocal groups
-            made = _split(part, rng, kernel) if len(part) > size else None
-            if made is None:
-                groups += 1
-                return -groups
-            at = len(tree)
-            tree.append(None)
-            tree[at] = (made[0], made[1], grow(part[made[2]]), grow(part[~made[2]]))
-            return at
-
-        grow(sample)
+        size = min(max(LEAST_SAMPLE, 4 * want), MOST_SAMPLE)
+        sample = _values([r.value for r in pts.orderBy(F.xxhash64("id", F.lit(seed))).limit(size).collect()])
+    grown = []  # of each tree its nodes (pivots, left, right); children < 0 are groups
+    for t in range(trees):
+        tree: list[tuple] = []
+        rng = np.random.default_rng([seed, t])
+        if sample is not None:
+            most, groups, todo = max(4, len(sample) // want), 0, [(np.arange(len(sample)), None, None)]
+            while todo:
+                part, parent, side = todo.pop()
+                made = _split(sample[part], rng, kernel) if len(part) > most else None
+                if made is None:
+                    groups += 1
+                    at = -groups
+                else:
+                    at = len(tree)
+                    tree.append([made[0], None, None])
+                    todo += [(part[made[1]], at, 1), (part[~made[1]], at, 2)]
+                if parent is not None:
+                    tree[parent][side] = at
+        grown.append(tree)
 
     def route(batches):
         for b in batches:
-            x, at = dense(b.value), np.zeros(len(b), int) if tree else np.full(len(b), -1)
-            while (at >= 0).any():
-                for node in np.unique(at[at >= 0]):
-                    rows = np.flatnonzero(at == node)
-                    a, c, left, right = tree[node]
-                    d = kernel(x[rows], np.stack((a, c)))
-                    at[rows] = np.where(d[:, 0] < d[:, 1], left, right)
-            yield pd.DataFrame({"leaf": -at.astype(np.int64), "id": b.id, "value": b.value})
+            x = _values(b.value)
+            for t, tree in enumerate(grown):
+                at = np.zeros(len(b), int) if tree else np.full(len(b), -1)
+                while (at >= 0).any():
+                    for node in np.unique(at[at >= 0]):
+                        rows = np.flatnonzero(at == node)
+                        pivots, left, right = tree[node]
+                        d = kernel(x[rows], pivots)
+                        at[rows] = np.where(d[:, 0] < d[:, 1], left, right)
+                yield pd.DataFrame({"tree": t, "leaf": -at.astype(np.int64), "id": b.id, "value": b.value})
 
     value = pts.schema["value"].dataType.simpleString()
-    dealt = pts.mapInPandas(route, f"leaf long, id long, value {value}")
-    # a group of many equal points is cut by hash, so that no task holds it whole
-    sizes = dealt.groupBy("leaf").agg(F.ceil(F.count("*") / (4 * GROUP)).alias("cuts"))
-    dealt = dealt.join(F.broadcast(sizes), "leaf").withColumn("salt", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("cuts")))
+    dealt = pts.mapInPandas(route, f"tree long, leaf long, id long, value {value}")
+    cuts = F.lit(1)
+    if want > 1:
+        sizes = dealt.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / (4 * GROUP)).alias("cuts")).where("cuts > 1")
+        # groups of more than 4 * GROUP points: n / (4 * GROUP) rows a tree at most
+        dealt = dealt.join(sizes, ["tree", "leaf"], "left")
+        cuts = F.coalesce("cuts", F.lit(1))
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(seed)), cuts))
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id")
-        local = np.random.default_rng([seed, int(part.leaf.iloc[0])])
-        found = list(_leaf_edges(part.id.to_numpy(), dense(part.value), k, leaf, local, kernel))
+        local = np.random.default_rng([seed, int(part.tree.iloc[0]), int(part.leaf.iloc[0])])
+        found = list(_leaf_edges(part.id.to_numpy(), _values(part.value), k, leaf, local, kernel))
         return pd.DataFrame(dict(zip(("src", "dst", "dist"), map(np.concatenate, zip(*found)))))
 
-    return dealt.select("leaf", "salt", "id", "value").groupBy("leaf", "salt").applyInPandas(compare, EDGES)
+    return dealt.select("tree", "leaf", "salt", "id", "value").groupBy("tree", "leaf", "salt").applyInPandas(compare, EDGES)
 
 
-def join_neighbours(graph: DataFrame, pts: DataFrame, distance: str | Callable, p: float | None) -> DataFrame:
-    """Candidate edges of a descent round: pairs that meet at a hub, one of them new."""
-    ways = graph.select("src", "dst", "is_new").unionByName(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "is_new"))
-    ways = ways.groupBy("src", "dst").agg(F.max("is_new").alias("is_new"))
-    left = ways.select(F.col("src").alias("hub"), F.col("dst").alias("a"), F.col("is_new").alias("na"))
-    right = ways.select(F.col("src").alias("hub"), F.col("dst").alias("b"), F.col("is_new").alias("nb"))
-    met = left.join(right, "hub").where("a < b and (na or nb)").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
-    return both_ways(with_distance(met, pts, distance, p))
+def join_neighbours(graph: DataFrame, pts: DataFrame, k: int, distance: str | Callable, p: float | None) -> DataFrame:
+    """Edges that a descent round finds: points that meet at a hub, one of them new.
+
+    At a hub meet its neighbours and the k nearest points that have it as a neighbour,
+    so a hub holds 2 * k points at most.  Only edges that are shorter than the longest
+    one of their source leave the hub.
+    """
+    kernel = distances.values_kernel(distance, p)
+    back = graph.select(F.col("dst").alias("hub"), F.col("src").alias("id"), "dist", "is_new")
+    back = back.withColumn("r", F.row_number().over(Window.partitionBy("hub").orderBy("dist", "id"))).where(F.col("r") <= k)
+    ways = graph.select(F.col("src").alias("hub"), F.col("dst").alias("id"), "is_new").unionByName(back.select("hub", "id", "is_new"))
+    ways = ways.groupBy("hub", "id").agg(F.max("is_new").alias("is_new"))
+    reach = graph.groupBy(F.col("src").alias("id")).agg(F.when(F.count("*") >= k, F.max("dist")).otherwise(F.lit(float("inf"))).alias("reach"))
+    meeting = ways.join(pts.join(reach, "id", "left").select("id", "value", F.coalesce("reach", F.lit(float("inf"))).alias("reach")), "id")
+
+    def compare(batches):
+        held = None
+        for b in batches:
+            b = b if held is None else pd.concat((held, b), ignore_index=True)
+            last = b.hub.iloc[-1] if len(b) else None
+            held = b[b.hub == last]  # its other rows may come in the next batch
+            yield from edges(b[b.hub != last])
+        if held is not None and len(held):
+            yield from edges(held)
+
+    def edges(b: pd.DataFrame):
+        if not len(b):
+            return
+        starts = np.flatnonzero(np.concatenate(([True], b.hub.to_numpy()[1:] != b.hub.to_numpy()[:-1])))
+        x, ids, fresh, reach = _values(b.value), b.id.to_numpy(), b.is_new.to_numpy(bool), b.reach.to_numpy()
+        found = []
+        for s, e in zip(starts, np.append(starts[1:], len(b))):
+            d = np.asarray(kernel(x[s:e], x[s:e]), float)
+            ok = (fresh[s:e, None] | fresh[None, s:e]) & (d < reach[s:e, None]) & (ids[s:e, None] != ids[None, s:e])
+            i, j = np.nonzero(ok)
+            found.append((ids[s:e][i], ids[s:e][j], d[i, j]))
+        yield pd.DataFrame(dict(zip(("src", "dst", "dist"), map(np.concatenate, zip(*found)))))
+
+    return meeting.select("hub", "id", "is_new", "reach", "value").repartition("hub").sortWithinPartitions("hub").mapInPandas(compare, EDGES)
 
 
 def _updates(graph: DataFrame, before: DataFrame | None) -> int:
-    return graph.count() if before is None else graph.join(before, ["src", "dst"], "left_anti").count()
+    return graph.count() if before is None else graph.where("is_new").count()
 
 
-def approximate(df: DataFrame, k: int, distance: str | Callable = "l2", id_col: str = "id", value_col: str = "value", p: float | None = None, leaf_size: int | None = None, max_iter: int = 100, tol: float = 0.01, nnd_start: float = 0.1, method: str = "rpdiv", seed: int = 1) -> DataFrame:
-    """Rounds of division, joined by descent once few edges change, until they settle.
+def approximate(df: DataFrame, k: int, distance: str | Callable = "l2", id_col: str = "id", value_col: str = "value", p: float | None = None, leaf_size: int | None = None, max_iter: int = 100, tol: float = 0.01, nnd_start: float = 0.1, method: str = "rpdiv", seed: int = 1, width: int | None = None) -> DataFrame:
+    """Rounds of division, joined by descent, until they settle.
 
-    ``tol`` bounds the sum of both steps' net new edges, as a share of n * k.
+    The graph is built with ``width`` neighbours, 3 * k unless given, of which the k
+    nearest are returned, measured once more.  A round of division compares the leaves
+    of some trees.  From the second round on descent follows, and division ends once
+    descent brings less than ``nnd_start`` of n * width new edges; ``nnd_start=0``
+    leaves descent out.  All ends once fewer than ``tol`` are new.  Method nndescent
+    starts from a random graph and has no division.
     """
     pts = cut(points(df, id_col, value_col))
     n = max(1, pts.count())
-    leaf = max(20, leaf_size or int(2.5 * k))
-    descending = method == "nndescent" or callable(distance) or not _is_vector(pts)
-    graph: DataFrame | None = cut(merge(None, random_graph(pts, k, seed, distance, p), k))
-    dividing = not descending
+    w = max(k, width or 3 * k)
+    leaf = max(20, leaf_size or int(2.5 * w))
+    dividing = method != "nndescent"
+    graph: DataFrame | None = None if dividing else cut(merge(None, random_graph(pts, w, seed, distance, p), w))
     for round_ in range(max_iter):
         moved = 0.0
         if dividing:
-            new = cut(merge(graph, divide(pts, k, leaf, seed + 7 * round_, distance, p, n), k))
-            moved += _updates(new, graph) / (n * k)
-            # edges that survive keep their age until a descent round has used them
+            found = divide(pts, w, leaf, seed + 7 * round_, distance, p, n, TREES)
+            new = cut(merge(graph, found, w))
+            moved += _updates(new, graph) / (n * w)
             graph = new
-        if descending or moved < nnd_start:
-            descending = True
-            new = cut(merge(graph, join_neighbours(graph, pts, distance, p), k))
-            moved += _updates(new, graph) / (n * k)
+        if not dividing or (nnd_start > 0 and round_):
+            new = cut(merge(graph, join_neighbours(graph, pts, w, distance, p), w))
+            moved = _updates(new, graph) / (n * w)
             graph = new
+            # trees bring little once neighbours of neighbours are known
+            dividing = dividing and moved > nnd_start
         if moved < tol:
             break
-    return graph.select("src", "dst", "dist", "rank")
+    best = top_k(graph.select("src", "dst", "dist"), k)
+    return top_k(with_distance(best.select("src", "dst"), pts, distance, p), k)
 
 
 def build(df: DataFrame, k: int, method: str = "rpdiv", **options) -> DataFrame:

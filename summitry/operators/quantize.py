@@ -1,9 +1,8 @@
 """Codebooks and partitions: nearest code vectors, centroids, errors, edits.
 
 A codebook is (code, vector), a training set (id, vector[, freq]), a partition
-(id, cluster).  Codebooks are small: they travel as one row, so that assignment is
-a projection without a shuffle; ``MOST_CODES`` bounds what is sent that way, and
-larger ones go through a grid of blocks.
+(id, cluster).  Codes travel in arrays of bounded size, so that assignment is a
+projection; codebooks of a bounded size are broadcast, larger ones are joined.
 """
 
 from __future__ import annotations
@@ -17,30 +16,31 @@ from pyspark.sql import functions as F
 from ..functions import distances
 from .blocks import dense, grid
 
-MOST_CODES = 4096
+#: Codes that travel together as one array.
+BOOK = 1024
+#: Numbers in a codebook that may be broadcast: 64 MB.
+BROADCAST_NUMBERS = 8 << 20
 
 
 def nearest_code(data: DataFrame, codebook: DataFrame, distance: str = "l2sq") -> DataFrame:
-    """(id, code, error): the nearest code vector, ties to the smaller code."""
-    if codebook.count() > MOST_CODES:
-        return _nearest_in_blocks(data, codebook)
+    """(id, code, error): the nearest code vector by any distance, ties to the smaller code.
+
+    The least of each array of codes is taken in a projection, and the least of those
+    is combined map-side.
+    """
     d = distances.get(distance)
-    book = codebook.agg(F.array_sort(F.collect_list(F.struct("code", F.col("vector").alias("v")))).alias("book"))
+    shape = codebook.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("numbers")).first()
+    books = max(1, -(-shape["n"] // BOOK))
+    shelf = codebook.groupBy(F.pmod(F.xxhash64("code"), F.lit(books)).alias("j")).agg(F.collect_list(F.struct("code", F.col("vector").alias("v"))).alias("book"))
     best = F.array_min(F.transform("book", lambda c: F.struct(d(F.col("vector"), c["v"]).alias("error"), c["code"].alias("code"))))
-    return data.crossJoin(F.broadcast(book)).select("id", best.alias("b")).select("id", "b.code", "b.error")
-
-
-def _nearest_in_blocks(data: DataFrame, codebook: DataFrame) -> DataFrame:
-    def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "code": [], "error": []})
-        b = b.sort_values("id")
-        x, y = dense(a.vector), dense(b.vector)
-        best = ((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T).argmin(1)
-        return pd.DataFrame({"id": a.id, "code": b.id.to_numpy()[best], "error": ((x - y[best]) ** 2).sum(1)})
-
-    found = grid(data.select("id", "vector"), codebook.select(F.col("code").alias("id"), "vector"), cell, "id long, code long, error double", data.count(), codebook.count())
-    return found.groupBy("id").agg(F.min(F.struct("error", "code")).alias("b")).select("id", F.col("b.code").alias("code"), F.col("b.error").alias("error"))
+    if shape["numbers"] <= BROADCAST_NUMBERS:
+        met = data.select("id", "vector").crossJoin(F.broadcast(shelf))  # ``books`` rows for each one
+    else:
+        met = data.select("id", "vector", F.explode(F.sequence(F.lit(0), F.lit(books - 1))).alias("j")).join(shelf, "j")
+    found = met.select("id", best.alias("b"))
+    if books > 1:
+        found = found.groupBy("id").agg(F.min("b").alias("b"))
+    return found.select("id", "b.code", "b.error")
 
 
 def _members(data: DataFrame, partition: DataFrame) -> DataFrame:
@@ -99,25 +99,31 @@ def average_error(errors: DataFrame, size: int) -> DataFrame:
 
 
 def log2_factorial(n: Column) -> Column:
-    """log2 n! by Stirling's series, exact below 2."""
-    x = n.cast("double")
+    """log2 n! by Stirling's series of n + 8, less the factors in between."""
+    x = n.cast("double") + 8
     series = x * F.log(x) - x + 0.5 * F.log(2 * np.pi * x) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
-    return F.when(x < 2, 0.0).otherwise(series / np.log(2.0))
+    for i in range(8):
+        series = series - F.log(x - i)
+    return series / np.log(2.0)
 
 
-def stochastic_complexity(data: DataFrame, partition: DataFrame) -> DataFrame:
+def stochastic_complexity(data: DataFrame, partition: DataFrame, n_clusters: int | None = None) -> DataFrame:
     """Code length in bits of 0/1 vectors given their clusters, per vector.
 
-    The entropy of each cluster's components, half a logarithm of the size for each
-    parameter, and the bits that name the partition.
+    Of T vectors in K clusters: the bits that name a partition with the clusters'
+    sizes, log2 of T! / prod(size!), and the sizes themselves, log2 of
+    (T + K - 1)! / ((T - 1)! (K - 1)!); for each cluster and component with o ones and
+    z zeros, log2 of (o + z + 1)! / (o! z!).  K counts the clusters of the partition
+    unless given.
     """
-    dims = cluster_dimensions(data, partition)
-    p = F.col("value")
-    h = F.when((p > 0) & (p < 1), -p * F.log2(p) - (1 - p) * F.log2(1 - p)).otherwise(0.0)
-    per = dims.groupBy("cluster").agg(F.max("freq").alias("freq"), F.sum(h).alias("h"), F.count("*").alias("d"))
-    total = per.agg(F.sum("freq").alias("t"))
-    bits = F.col("freq") * F.col("h") + F.col("d") / 2 * F.log2(F.greatest(F.lit(1), F.col("freq"))) - log2_factorial(F.col("freq"))
-    return per.crossJoin(total).agg(((F.sum(bits) + log2_factorial(F.max("t"))) / F.max("t")).alias("complexity"))
+    parts = _members(data, partition).select("cluster", "freq", F.posexplode("vector").alias("dim", "x"))
+    dims = parts.groupBy("cluster", "dim").agg(F.sum("freq").alias("freq"), F.sum(F.when(F.col("x") > 0, F.col("freq")).otherwise(0)).alias("ones"))
+    lg = log2_factorial
+    bits = lg(F.col("freq") + 1) - lg(F.col("ones")) - lg(F.col("freq") - F.col("ones"))
+    per = dims.groupBy("cluster").agg(F.max("freq").alias("freq"), F.sum(bits).alias("bits"))
+    total = per.agg(F.sum("freq").alias("t"), F.lit(n_clusters).cast("long").alias("given") if n_clusters else F.count("*").alias("given"), F.sum("bits").alias("bits"), F.sum(lg(F.col("freq"))).alias("sizes"))
+    t, k = F.col("t"), F.col("given")
+    return total.select(((lg(t) - F.col("sizes") + lg(t + k - 1) - lg(t - 1) - lg(k - 1) + F.col("bits")) / t).alias("complexity"))
 
 
 def duplicates(data: DataFrame) -> DataFrame:
@@ -217,8 +223,9 @@ def single_link(data: DataFrame, partition: DataFrame) -> DataFrame:
         for c1, p in a.groupby("cluster"):
             for c2, q in b[b.cluster > c1].groupby("cluster"):
                 x, y, i, j = dense(p.vector), dense(q.vector), p.id.to_numpy(), q.id.to_numpy()
-                rough = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T
-                near = np.argwhere(rough <= rough.min() + 1e-9)
+                rough = distances.block_kernel("l2")(x, y)
+                once = distances.reach("l2", rough.min(1), x, y)
+                near = np.argwhere(rough <= distances.reach("l2", np.full(len(x), once.min()), x, y)[:, None])
                 real = np.sqrt(((x[near[:, 0]] - y[near[:, 1]]) ** 2).sum(1))
                 k = np.lexsort((j[near[:, 1]], i[near[:, 0]], real))[0]
                 rows.append((c1, c2, real[k], i[near[k, 0]], j[near[k, 1]]))

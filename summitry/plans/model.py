@@ -83,9 +83,10 @@ def cluster_vectors(df: DataFrame, num_clusters: int, num_neighbors: int = 10, w
     return DensityPeaks(num_clusters, num_neighbors, "rpdiv", distance, leaf_size=leaf, max_iter=maxiter, tol=endcond, nnd_start=nndes_start).fit(df, id_col, value_col)
 
 
-def cluster_by(df: DataFrame, distance: Callable, num_clusters: int, num_neighbors: int = 10, maxiter: int = 100, endcond: float = 0.05, id_col: str = "id", value_col: str = "value") -> Model:
+def cluster_by(df: DataFrame, distance: Callable, num_clusters: int, num_neighbors: int = 10, window: int = 20, nndes_start: float = 0.1, maxiter: int = 100, endcond: float = 0.05, id_col: str = "id", value_col: str = "value") -> Model:
     """Clusters by a callable over two pandas Series of values, a batch of pairs at a time."""
-    return DensityPeaks(num_clusters, num_neighbors, "nndescent", distance, max_iter=maxiter, tol=endcond).fit(df, id_col, value_col)
+    leaf = max(20, window if window > 0 else 2 * num_neighbors)
+    return DensityPeaks(num_clusters, num_neighbors, "rpdiv", distance, leaf_size=leaf, max_iter=maxiter, tol=endcond, nnd_start=nndes_start).fit(df, id_col, value_col)
 
 
 def _labels(spark: SparkSession, path: str) -> DataFrame:

@@ -150,7 +150,7 @@ def vector_algebra(spark, sf_dir):
 # Graphs
 
 _V = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, label FROM embeddings)"
-_KNN = f"""{_V}, near AS (SELECT src, dst, dist, rank FROM (SELECT a.id AS src, b.id AS dst, {{d}} AS dist, row_number() OVER (PARTITION BY a.id ORDER BY {{d}}, b.id) AS rank FROM v a JOIN v b ON a.id <> b.id) WHERE rank <= {K})"""
+_KNN = f"""{_V}, near AS MATERIALIZED (SELECT src, dst, dist, rank FROM (SELECT a.id AS src, b.id AS dst, {{d}} AS dist, row_number() OVER (PARTITION BY a.id ORDER BY {{d}}, b.id) AS rank FROM v a JOIN v b ON a.id <> b.id) WHERE rank <= {K})"""
 _L2 = _KNN.format(d="list_distance(a.e, b.e)")
 
 
@@ -216,17 +216,17 @@ def graph_recompute_l1(spark, sf_dir):
 
 @query("knn_rpdiv")
 def knn_rpdiv(spark, sf_dir):
-    return _graph_out(knn.build(_embeddings(spark, sf_dir), K, "rpdiv", max_iter=6, tol=0.02))
+    return _graph_out(knn.build(_embeddings(spark, sf_dir), K, "rpdiv"))
 
 
 @query("knn_nndescent")
 def knn_nndescent(spark, sf_dir):
-    return _graph_out(knn.build(_embeddings(spark, sf_dir), K, "nndescent", max_iter=6, tol=0.02))
+    return _graph_out(knn.build(_embeddings(spark, sf_dir), K, "nndescent"))
 
 
 @query("knn_recall")
 def knn_recall(spark, sf_dir):
-    return knn.recall(knn.build(_embeddings(spark, sf_dir), K, "rpdiv", max_iter=6, tol=0.02), _edges(spark, sf_dir), K)
+    return knn.recall(knn.build(_embeddings(spark, sf_dir), K, "rpdiv"), _edges(spark, sf_dir), K)
 
 
 # Density peaks

@@ -12,20 +12,20 @@ RULE = "-------------------------------------"
 
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) with line numbers from 0, counted without moving rows.
+    """(line, value) with line numbers from 0, files in path order, counted without moving rows.
 
-    Every partition's lines are counted, and the counts' prefix sums (a row for each
-    partition) are its first line number.
+    The lines of every block of a file are counted, and the counts' prefix sums (a row
+    for each block) are its first line number.  A partition may hold several blocks;
+    each one's lines stand together in it.
     """
     raw = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("mid"))
-    raw = raw.withColumn("part", F.shiftright("mid", 33)).withColumn("place", F.expr("mid & ((1L << 33) - 1)"))
-    parts = raw.groupBy("part").agg(F.count("*").alias("n"), F.min(F.struct("file_path", "file_block_start")).alias("at")).orderBy("at").collect()
+    block = ["file_path", "file_block_start"]
     rows, base = [], 0
-    for r in parts:
-        rows.append((r["part"], base))
+    for r in raw.groupBy(*block).agg(F.count("*").alias("n"), F.min("mid").alias("first")).orderBy(*block).collect():
+        rows.append((r["file_path"], r["file_block_start"], base - r["first"]))
         base += r["n"]
-    bases = spark.createDataFrame(rows, "part long, base long")
-    return raw.join(F.broadcast(bases), "part").select((F.col("base") + F.col("place")).alias("line"), "value")
+    shifts = spark.createDataFrame(rows, "file_path string, file_block_start long, shift long")
+    return raw.join(F.broadcast(shifts), block).select((F.col("mid") + F.col("shift")).alias("line"), "value")
 
 
 def _required(df: DataFrame, what: str) -> DataFrame:

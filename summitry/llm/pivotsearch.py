@@ -1,22 +1,25 @@
 """Exact top-k inner products by pivot-table elimination.
 
-Vectors become integers, floor(scale * x).  For a handful of pivots the distance
-of every vector to each pivot is tabulated; by the triangle inequality
+Vectors become integers, floor(scale * x).  The distance of every vector to each of
+many pivots is computed once and stored beside it; by the triangle inequality
 ``max_p |d(q, p) - d(x, p)|`` bounds d(q, x) from below, hence the inner product
-``(|q|^2 + |x|^2 - d^2) / 2`` from above.  Each query walks its candidates in
-order of that bound, those of the highest bounds first, and stops exactly: what is
-left out has a bound under the query's k-th score.
+``(|q|^2 + |x|^2 - d^2) / 2`` from above.  Candidates are evaluated in the order of
+that bound until the next bound is under a query's k-th score, which is exact:
+whatever is left out scores less.
 
 The stated queries meet all rows in blocks: queries are cut into blocks of
-``query_block`` rows, candidates into blocks of ``candidate_block``; every cell
-of that grid is one group of bounded size and keeps k rows a query.
+``QUERY_BLOCK`` rows, candidates into blocks of ``CANDIDATE_BLOCK``; every cell of
+that grid is one group of bounded size and keeps k rows a query.  Within a cell,
+queries near the same pivots walk together, each until its own stop.
 
 Edge cases: vectors that are null, empty or hold null or non-finite components
 take no part; vectors of unlike length are compared over the shorter one padded
-with zeros; equal scores go to the smaller id; repeated ids are separate
-candidates, but never candidates of a query with that id; with fewer candidates
-than k all are returned; products are exact up to 64 bits, and an error beyond;
-an empty table gives no rows.
+with zeros; equal scores go to the smaller id, then to the first of equal rows;
+every row is a candidate of all others and a query of its own, also where ids
+repeat: two rows with one id that is asked for give two lists, and each may hold
+the other; rows without an id take no part; with fewer candidates than k all are
+returned; products are exact at any size; an empty table gives no rows; other
+columns play no part.
 """
 
 from __future__ import annotations
@@ -29,14 +32,14 @@ from pyspark.sql import functions as F
 
 from . import common
 
-N_PIVOTS = 16
+N_PIVOTS = 64
 #: Rows from which pivots are chosen.
 PIVOT_SAMPLE = 2000
 QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 8192
-#: Candidates of the highest bounds that a query evaluates first.
-STEP = 128
-QUERIES_AT_ONCE = 128
+#: Candidates of a step, and queries that walk together.
+STEP = 512
+QUERIES_AT_ONCE = 64
 
 
 def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
@@ -71,23 +74,19 @@ def pivot_table(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squares, 0))
 
 
-def upper_bounds(q: np.ndarray, x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+def upper_bounds(table_q: np.ndarray, table_x: np.ndarray, norm_q: np.ndarray, norm_x: np.ndarray) -> np.ndarray:
     """Bounds on all inner products, a little loose so that rounding can't lower them."""
-    table_q, table_x = pivot_table(q, pivots).astype(np.float32), pivot_table(x, pivots).astype(np.float32)
-    low = np.zeros((len(q), len(x)), np.float32)
+    low = np.zeros((len(table_q), len(table_x)), np.float32)
     gap = np.empty_like(low)
-    for p in range(len(pivots)):
+    for p in range(table_q.shape[1]):
         np.subtract(table_q[:, p, None], table_x[None, :, p], out=gap)
         np.abs(gap, out=gap)
         np.maximum(low, gap, out=low)
-    norm_q, norm_x = (q**2).sum(1), (x**2).sum(1)
+    # distances are stored in 24 bits, so the gap may be this much too wide
+    low -= np.float32(2.0**-21) * (table_q.max(initial=0) + table_x.max(initial=0))
+    np.maximum(low, 0, out=low)
     slack = 1e-5 * (norm_q.max(initial=0) + norm_x.max(initial=0)) + 1e-3
-    np.multiply(low, low, out=low)
-    bound = norm_q.astype(np.float32)[:, None] + norm_x.astype(np.float32)[None]
-    bound -= low
-    bound *= np.float32(0.5)
-    bound += np.float32(slack)
-    return bound
+    return 0.5 * (norm_q.astype(np.float32)[:, None] + norm_x.astype(np.float32)[None] - low * low) + np.float32(slack)
 
 
 def exact_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -104,71 +103,99 @@ def exact_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def kth_best(scores: np.ndarray, k: int) -> np.ndarray:
-    """The k-th largest value of each row, or -inf for shorter rows."""
-    if scores.shape[1] < k:
-        return np.full(len(scores), -np.inf)
-    if scores.dtype == object:
-        return np.array([sorted(row, reverse=True)[k - 1] for row in scores], dtype=object)
-    return np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
+class _Best:
+    """The k best candidates of each query so far."""
 
+    def __init__(self, n: int, k: int):
+        self.k, self.rows = k, [[] for _ in range(n)]
+        self.bar = np.full(n, -np.inf)
 
-def search_block(q_ids, q: np.ndarray, x_ids, x: np.ndarray, pivots: np.ndarray, k: int) -> list[tuple]:
-    """(query_id, vec_id, score, evaluated) of the k best of one block for each query."""
+    def add(self, i: int, scores, ids: np.ndarray, places: np.ndarray) -> None:
+        """Scores of further candidates of query i, in any order."""
+        good = np.flatnonzero(scores >= self.bar[i])
+        if not len(good):
+            return
+        merged = self.rows[i] + list(zip((-scores[good]).tolist(), ids[good].tolist(), places[good].tolist()))
+        merged.sort()
+        self.rows[i] = merged[: self.k]
+        if len(merged) >= self.k:
+            # rounded down, so that no equal score is lost beyond 53 bits
+            self.bar[i] = np.nextafter(float(-self.rows[i][-1][0]), -np.inf) if abs(self.rows[i][-1][0]) >= 2**53 else -self.rows[i][-1][0]
+
+
+def search_block(q: pd.DataFrame, x: pd.DataFrame, width: int, k: int) -> list[tuple]:
+    """(query_row, query_id, row, vec_id, score, evaluated) of the k best of one block for each query."""
     out = []
-    by_id = np.argsort(x_ids, kind="stable")
-    x_ids, x = x_ids[by_id], x[by_id]
+    q, x = q.reset_index(drop=True), x.sort_values(["vec_id", "row"]).reset_index(drop=True)
+    vq, vx = matrix(q.v.to_list(), width), matrix(x.v.to_list(), width)
+    table_q, table_x = np.array(q.far.to_list(), np.float32).reshape(len(q), -1), np.array(x.far.to_list(), np.float32).reshape(len(x), -1)
+    norm_q, norm_x = (vq**2).sum(1), (vx**2).sum(1)
+    rows, ids = x.row.to_numpy(), x.vec_id.to_numpy()
+    near = np.lexsort((table_q.min(1), table_q.argmin(1))) if table_q.shape[1] else np.arange(len(q))
     for at in range(0, len(q), QUERIES_AT_ONCE):
-        ids, vecs = q_ids[at : at + QUERIES_AT_ONCE], q[at : at + QUERIES_AT_ONCE]
-        bounds = upper_bounds(vecs, x, pivots)
-        own = x_ids[None, :] == ids[:, None]
-        bounds[own] = -np.inf
-        # the candidates of the highest bounds set each query's bar ...
-        step = min(len(x), max(STEP, 2 * k))
-        bar = np.full(len(vecs), -np.inf, dtype=object if np.abs(x).max(initial=0) > 2**26 else float)
-        if step < len(x):
-            first = np.argpartition(bounds, len(x) - step, axis=1)[:, -step:]
-            for i, take in enumerate(first):
-                take = take[bounds[i, take] > -np.inf]
-                bar[i] = kth_best(exact_products(vecs[i : i + 1], x[take]), k)[0]
-        # ... and whatever is bounded below the bar is out; the rest is evaluated
-        alive = bounds >= bar.astype(float)[:, None]
-        alive &= ~own
-        columns = np.flatnonzero(alive.any(0))
-        scores = exact_products(vecs, x[columns])
-        alive = alive[:, columns]
-        scores[~alive] = -np.inf
-        least = kth_best(scores, k)
-        for i, row in enumerate(scores):
-            hit = np.flatnonzero(alive[i] & (row >= least[i]))
-            hit = hit[np.lexsort((x_ids[columns[hit]], -row[hit]))][:k]
-            seen = int(alive[i].sum())
-            out += [(int(ids[i]), int(x_ids[columns[t]]), int(row[t]), seen) for t in hit]
+        group = near[at : at + QUERIES_AT_ONCE]
+        own = q.row.to_numpy()[group]
+        bounds = upper_bounds(table_q[group], table_x, norm_q[group], norm_x)
+        bounds[rows[None] == own[:, None]] = -np.inf
+        order = np.argsort(-bounds.max(0), kind="stable")
+        bounds = bounds[:, order]
+        # of each query, the highest bound of all candidates from a step on
+        ahead = np.maximum.reduceat(bounds, np.arange(0, len(x), STEP), axis=1)
+        ahead = np.maximum.accumulate(ahead[:, ::-1], axis=1)[:, ::-1]
+        best, seen = _Best(len(group), k), np.zeros(len(group), int)
+        for step in range(ahead.shape[1]):
+            walking = np.flatnonzero(ahead[:, step] >= best.bar)
+            if not len(walking):
+                break
+            part = slice(step * STEP, (step + 1) * STEP)
+            alive = bounds[walking, part] >= np.maximum(best.bar[walking], np.finfo(np.float32).min)[:, None]
+            columns = np.flatnonzero(alive.any(0))
+            if not len(columns):
+                continue
+            take = order[part][columns]
+            scores = exact_products(vq[group[walking]], vx[take])
+            for t, i in enumerate(walking.tolist()):
+                mine = np.flatnonzero(alive[t, columns])
+                seen[i] += len(mine)
+                best.add(i, scores[t, mine], ids[take[mine]], rows[take[mine]])
+        for i, g in enumerate(group.tolist()):
+            out += [(int(q.row[g]), int(q.vec_id[g]), r, v, int(-s), int(seen[i])) for s, v, r in best.rows[i]]
     return out
 
 
+FOUND = "query_row long, query_id long, row long, vec_id long, score long, evaluated long"
+
+
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, n_pivots: int = N_PIVOTS) -> DataFrame:
     """The k best rows for each row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     scratch = common.Scratch(spark, "topk")
-    rows = scratch.save(quantised(vectors), "rows")
-    shape = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).first()
+    plain = scratch.save(quantised(vectors).withColumn("row", F.monotonically_increasing_id()), "plain")
+    shape = plain.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).first()
     width = shape["width"] or 1
-    sample = rows.orderBy(F.xxhash64("vec_id")).limit(PIVOT_SAMPLE).collect()
+    sample = plain.orderBy(F.xxhash64("row")).limit(PIVOT_SAMPLE).collect()
     pivots = choose_pivots(matrix([r.v for r in sample], width), n_pivots)
+
+    def far(batches):
+        for b in batches:
+            b["far"] = list(pivot_table(matrix(b.v.to_list(), width), pivots).astype(np.float32)) if len(b) else []
+            yield b
+
+    rows = scratch.save(plain.mapInPandas(far, "vec_id long, v array<double>, row long, far array<float>"), "rows")
+    scratch.drop("plain")
     n_cand, n_query = max(1, -(-shape["n"] // CANDIDATE_BLOCK)), max(1, -(-shape["q"] // QUERY_BLOCK))
-    cell = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
-    queries = rows.where(F.col("vec_id") % every == 0).select(cell(n_query, 1).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_cand - 1))).alias("cb"), F.col("vec_id").alias("query_id"), F.col("v").alias("query"))
-    candidates = rows.select(F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).alias("to_qb"), cell(n_cand, 2).alias("to_cb"), "vec_id", "v")
+    cell = lambda n, salt: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(n)).cast("int")
+    across = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    queries = rows.where(F.col("vec_id") % every == 0).select(cell(n_query, 1).alias("qb"), across(n_cand).alias("cb"), "row", "vec_id", "v", "far")
+    candidates = rows.select(across(n_query).alias("to_qb"), cell(n_cand, 2).alias("to_cb"), F.col("row").alias("r"), F.col("vec_id").alias("i"), F.col("v").alias("w"), F.col("far").alias("f"))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(left) and len(right):
-            found = search_block(left.query_id.to_numpy(), matrix(left["query"].to_list(), width), right.vec_id.to_numpy(), matrix(right.v.to_list(), width), pivots, k)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score", "evaluated"])
+        right = right.rename(columns={"r": "row", "i": "vec_id", "w": "v", "f": "far"})
+        found = search_block(left, right, width, k) if len(left) and len(right) else []
+        return pd.DataFrame(found, columns=[c.split()[0] for c in FOUND.split(", ")])
 
-    found = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("to_qb", "to_cb")).applyInPandas(search, "query_id long, vec_id long, score long, evaluated long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    found = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("to_qb", "to_cb")).applyInPandas(search, FOUND)
+    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "evaluated")
 
 

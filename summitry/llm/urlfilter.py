@@ -2,13 +2,19 @@
 
 Host and path names are cut at separators, and each name is split by unigram
 Viterbi over a lexicon (``casinowin`` -> ``casino win``).  A multinomial naive
-Bayes model over the segmented words gives the verdict where no rule fits.  The
-lexicon and the two classes' example words are fixed parameters; the unigram
-counts of the lexicon's words are taken over all urls of the table.
+Bayes model over the segmented words gives the verdict where no rule fits.
+
+The two classes' example names are fixed parameters, for the table marks no url as
+bad but by the rules, whose hosts hold pages of both kinds.  The lexicon holds their
+words and the words that urls separate themselves (``casino-win``), the ``MOST_WORDS``
+most frequent of these, with counts over all urls of the table.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path and
-is allowed with score 0.5; urls may repeat; the empty table gives no rows;
-columns of the input other than page_id and url play no part.
+is allowed with score 0.5, as is a url of words that no class knows; names of any
+length are split whole, an unknown word holds ``UNKNOWN`` letters at most; of equally
+likely splits the one whose last word is longest is taken; urls and ids may repeat;
+the empty table gives no rows; columns of the input other than page_id and url play
+no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,6 +50,8 @@ sports news|video lecture|free software|online course|cash book|best practice
 COMMON_WORDS = "my your the and for all top new web net site home page go up get how to of in on with shop store info tech web world"
 
 ALPHA = 0.5
+#: Words that the lexicon learns from the table, and letters of a word that it doesn't know.
+MOST_WORDS, UNKNOWN = 20_000, 24
 
 
 def _examples(text: str) -> list[list[str]]:
@@ -83,10 +91,13 @@ class Segmenter:
     def split(self, name: str) -> tuple[str, ...]:
         n = len(name)
         best: list[tuple[float, int]] = [(0.0, 0)] + [(math.inf, 0)] * n
+        reach = max(self.longest, UNKNOWN)
         for end in range(1, n + 1):
-            for start in range(end):
+            for start in range(max(0, end - reach), end):
                 word = name[start:end]
                 known = self.cost.get(word) if end - start <= self.longest else None
+                if known is None and end - start > UNKNOWN:
+                    continue
                 cost = best[start][0] + (known if known is not None else self.unknown + self.letter * (end - start))
                 if cost < best[end][0]:
                     best[end] = (cost, start)
@@ -98,14 +109,9 @@ class Segmenter:
         return tuple(reversed(words))
 
 
-#: A longer name is a token or an identifier, not words: it is cut into runs of this length.
-NAME_LIMIT = 64
-
-
 def names_of(host: str, path: str) -> list[str]:
     """Names between separators; runs of digits are dropped."""
-    found = re.findall(r"[^\W\d_]+", f"{host} {path}".lower())
-    return [x[i : i + NAME_LIMIT] for x in found for i in range(0, len(x), NAME_LIMIT)]
+    return re.findall(r"[^\W\d_]+", f"{host} {path}".lower())
 
 
 class NaiveBayes:
@@ -126,16 +132,17 @@ class NaiveBayes:
 
 
 def lexicon_counts(pages: DataFrame) -> dict[str, int]:
-    """How often each lexicon word stands alone between separators, over all urls."""
-    words = F.explode(F.split(F.lower(F.coalesce("url", F.lit(""))), r"[^a-z]+")).alias("word")
-    rows = pages.select(words).where(F.col("word").isin(list(LEXICON))).groupBy("word").count().collect()
+    """The lexicon's words, with counts of how often urls of the table separate them."""
+    labels = F.explode(F.split(F.lower(F.coalesce("url", F.lit(""))), r"[^a-z+_-]+")).alias("label")
+    words = pages.select(labels).where(F.col("label").rlike("[a-z][+_-]+[a-z]")).select(F.explode(F.split("label", "[+_-]+")).alias("word"))
+    counted = words.where(F.length("word").between(2, UNKNOWN)).groupBy("word").count()
     counts = dict.fromkeys(LEXICON, 0)
     for text in (BLOCK_EXAMPLES, ALLOW_EXAMPLES):
         for x in _examples(text):
             for w in x:
                 counts[w] += 1
-    for r in rows:  # at most a row for each lexicon word
-        counts[r["word"]] += int(math.log2(1 + r["count"]))
+    for r in counted.orderBy(F.col("count").desc(), "word").limit(MOST_WORDS).collect():
+        counts[r["word"]] = counts.get(r["word"], 0) + int(math.log2(1 + r["count"]))
     return counts
 
 

@@ -357,12 +357,19 @@ def build(df: DataFrame, k: int, method: str = "rpdiv", **options) -> DataFrame:
     return approximate(df, k, method=method, **options)
 
 
-def recall(graph: DataFrame, truth: DataFrame, k: int) -> DataFrame:
-    """recall, ratio of summed lengths, and pairs of both graphs' first k neighbours."""
+def recall(graph: DataFrame, truth: DataFrame, k: int, compared: int | None = None) -> DataFrame:
+    """recall, ratio of summed lengths, and pairs of both graphs' first k neighbours.
+
+    With ``compared``, the number of distances that were taken, also the cost: its share
+    of all pairs of points.
+    """
     a, b = graph.where(F.col("rank") <= k), truth.where(F.col("rank") <= k)
     hits = b.join(a.select("src", "dst"), ["src", "dst"], "left_semi").agg(F.count("*").alias("hits"))
-    totals = b.agg(F.count("*").alias("wanted"), F.sum("dist").alias("best")).crossJoin(a.agg(F.sum("dist").alias("length")))
-    return hits.crossJoin(totals).select((F.col("hits") / F.col("wanted")).alias("recall"), (F.col("length") / F.col("best")).alias("ratio"), "wanted")
+    totals = b.agg(F.count("*").alias("wanted"), F.sum("dist").alias("best"), F.countDistinct("src").alias("n")).crossJoin(a.agg(F.sum("dist").alias("length")))
+    out = [(F.col("hits") / F.col("wanted")).alias("recall"), (F.col("length") / F.col("best")).alias("ratio"), F.col("wanted")]
+    if compared is not None:
+        out.append((F.lit(float(compared)) / (F.col("n") * (F.col("n") - 1) / 2)).alias("cost"))
+    return hits.crossJoin(totals).select(*out)
 
 
 def edge_stats(edges: DataFrame) -> DataFrame:

@@ -204,6 +204,35 @@ def fill_empty(data: DataFrame, partition: DataFrame, codebook: DataFrame, n_clu
     return move_points(partition, partition.sparkSession.createDataFrame(moves, "id long, cluster int"))
 
 
+def fill_empty_random(data: DataFrame, partition: DataFrame, codebook: DataFrame, n_clusters: int, seed: int = 1) -> DataFrame:
+    """The codebook with a random vector for each empty cluster, all different and in no other code."""
+    empty = [r.cluster for r in empty_clusters(partition, n_clusters).orderBy("cluster").collect()]  # n_clusters at most
+    kept = codebook.join(partition.select(F.col("cluster").alias("code")).distinct(), "code", "left_semi").select("code", "vector")
+    fresh = data.join(kept.select("vector"), "vector", "left_anti").groupBy("vector").agg(F.min("id").alias("id"))
+    drawn = fresh.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), "id").limit(len(empty)).collect()
+    kind = data.schema["vector"].dataType.simpleString()
+    rows = [(c, r.vector) for c, r in zip(empty, drawn)]
+    return kept.unionByName(partition.sparkSession.createDataFrame(rows, f"code {kept.schema['code'].dataType.simpleString()}, vector {kind}"))
+
+
+def cluster_statistics(data: DataFrame, partition: DataFrame) -> DataFrame:
+    """(cluster, uniques, freq, sums): different vectors, members and component sums of each cluster."""
+    uniques = _members(data, partition).groupBy("cluster", "vector").agg(F.sum("freq").alias("freq")).groupBy("cluster").agg(F.count("*").alias("uniques"), F.sum("freq").alias("freq"))
+    dims = cluster_dimensions(data, partition)
+    sums = dims.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("dim", (F.col("value") * F.col("freq")).alias("s")))).alias("e"))
+    return uniques.join(sums.select("cluster", F.transform("e", lambda x: x["s"]).alias("sums")), "cluster")
+
+
+def sort_codebook(codebook: DataFrame, mode: str) -> DataFrame:
+    """(place, code, vector, freq) by data or frequency, rising or falling, or by the vectors' means."""
+    mean = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size("vector")
+    orders = {"data_ascending": F.col("vector").asc(), "data_descending": F.col("vector").desc(), "freq_ascending": F.col("freq").asc(), "freq_descending": F.col("freq").desc(), "vector_mean": mean.asc()}
+    if mode not in orders:
+        raise ValueError(f"mode is one of {', '.join(orders)}")
+    # codebooks are small beside the data they stand for, so one sorted run numbers them
+    return codebook.withColumn("place", F.row_number().over(Window.orderBy(orders[mode], "code"))).select("place", "code", "vector", "freq")
+
+
 def nearest_in_cluster(data: DataFrame, partition: DataFrame, ids: DataFrame, distance: str = "l2") -> DataFrame:
     """(id, nearest, dist): of each wanted point, the nearest other member of its cluster."""
     d = distances.get(distance)

@@ -479,12 +479,6 @@ def join_clusters(spark, sf_dir):
     return quantize.join_clusters(_training(spark, sf_dir)[1], 2, 7)
 
 
-@query("stochastic_complexity")
-def stochastic_complexity(spark, sf_dir):
-    data, part = _training(spark, sf_dir)
-    return quantize.stochastic_complexity(data.select("id", F.transform("vector", lambda x: (x > 0).cast("int")).alias("vector")), part)
-
-
 @query("fill_empty", f"WITH {_ERRORS}, w AS (SELECT id, row_number() OVER (ORDER BY error DESC, id) AS r FROM err), n AS (SELECT c, row_number() OVER (ORDER BY c) AS r FROM range(1, 13) t(c) WHERE c NOT IN (SELECT label FROM v)) SELECT v.id, coalesce(n.c, v.label)::INT AS cluster FROM v LEFT JOIN w ON w.id = v.id LEFT JOIN n ON n.r = w.r")
 def fill_empty(spark, sf_dir):
     data, part = _training(spark, sf_dir)

@@ -54,6 +54,11 @@ def read_vectors_permissive(spark: SparkSession, path: str) -> tuple[DataFrame,
     return out.where(fits), out.where(~fits).count()
 
 
+def read_codebook_text(spark: SparkSession, path: str) -> DataFrame:
+    """(idx, vector) of a text codebook: a vector a line, rounded to whole numbers."""
+    return read_vectors(spark, path).select(F.col("id").alias("idx"), F.transform("features", lambda x: F.floor(x + 0.5).cast("int")).alias("vector"))
+
+
 def read_strings(spark: SparkSession, path: str) -> DataFrame:
     return numbered(spark, path).select(F.col("line").alias("id"), F.col("value").alias("text"))
 

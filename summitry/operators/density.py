@@ -120,17 +120,19 @@ def select_peaks(stats: DataFrame, n_clusters: int) -> DataFrame:
 
 
 def propagate(stats: DataFrame, peaks: DataFrame) -> DataFrame:
-    """(id, label): pointers are doubled until each one rests at a peak."""
-    own = stats.select("id", "nhd").join(F.broadcast(peaks.select("id", "label")), "id", "left")
-    at = cut(own.select("id", F.when(F.col("label").isNotNull() | F.col("nhd").isNull(), F.col("id")).otherwise(F.col("nhd")).alias("to")))
-    while True:
-        onward = at.select(F.col("id").alias("to"), F.col("to").alias("further"))
-        new = cut(at.join(onward, "to").select("id", F.col("further").alias("to"), (F.col("further") != F.col("to")).alias("moved")))
-        done = new.where("moved").isEmpty()
-        at = new.drop("moved")
-        if done:
-            break
-    return at.join(F.broadcast(peaks.select(F.col("id").alias("to"), "label")), "to", "left").select("id", "label")
+    """(id, label): pointers are doubled until each one rests at a peak.
+
+    A point that has come to a peak leaves the next rounds, so that points never
+    gather under the few peaks' keys.
+    """
+    own = stats.select("id", "nhd").join(F.broadcast(peaks.select("id", "label")), "id", "left")  # n_clusters rows
+    rests = F.col("label").isNotNull() | F.col("nhd").isNull()
+    at = cut(own.select("id", F.when(rests, F.col("id")).otherwise(F.col("nhd")).alias("to"), "label", rests.alias("rests")))
+    while not at.where("not rests").isEmpty():
+        onward = at.select(F.col("id").alias("to"), F.col("to").alias("further"), F.col("label").alias("found"), F.col("rests").alias("there"))
+        moved = at.where("not rests").select("id", "to").join(onward, "to").select("id", F.col("further").alias("to"), F.col("found").alias("label"), F.col("there").alias("rests"))
+        at = cut(at.where("rests").unionByName(moved))
+    return at.select("id", "label")
 
 
 def nearest_peak_portion(edges: DataFrame, peaks: DataFrame, pts: DataFrame, distance: str | Callable = "l2", p: float | None = None) -> DataFrame:

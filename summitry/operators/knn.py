@@ -141,15 +141,15 @@ def recompute(edges: DataFrame, df: DataFrame, distance: str | Callable = "l2",
 
 def random_graph(pts: DataFrame, k: int, seed: int, distance, p: float | None = None) -> DataFrame:
     """k hashed draws a point, less itself and repeats."""
-    ids = pts.select("id").withColumn("place", F.row_number().over(Window.partitionBy(F.pmod("id", F.lit(64))).orderBy("id")))
-    ids = ids.select("id", F.struct(F.pmod("id", F.lit(64)).alias("s"), F.col("place").alias("r")).alias("at"))
-    counts = ids.groupBy("at.s").agg(F.max("at.r").alias("n"))
-    salts = cut(counts)
-    most = salts.count()
-    shelf = salts.withColumn("j", F.row_number().over(Window.orderBy("s")) - 1)  # 64 rows at most
-    draw = ids.select("id", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("t")).withColumn("j", F.pmod(F.xxhash64("id", "t", F.lit(seed)), F.lit(max(1, most))))
+    shelves = max(64, pts.count() >> 17)  # of about 131,072 points at most
+    shelf_of = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(shelves))
+    ids = pts.select("id", shelf_of.alias("s")).withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy("id")))
+    counts = cut(ids.groupBy("s").agg(F.max("r").alias("n")))
+    most = counts.count()
+    shelf = counts.withColumn("j", F.row_number().over(Window.orderBy("s")) - 1)  # a row for each shelf
+    draw = pts.select("id", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("t")).withColumn("j", F.pmod(F.xxhash64("id", "t", F.lit(seed)), F.lit(max(1, most))))
     aimed = draw.join(F.broadcast(shelf), "j").select("id", "s", (F.pmod(F.xxhash64("t", "id", F.lit(seed + 1)), F.col("n")) + 1).cast("int").alias("r"))
-    pairs = aimed.join(ids.select(F.col("id").alias("dst"), F.col("at.s").alias("s"), F.col("at.r").alias("r")), ["s", "r"])
+    pairs = aimed.join(ids.select(F.col("id").alias("dst"), "s", "r"), ["s", "r"])
     pairs = pairs.select(F.col("id").alias("src"), "dst").where("src <> dst").distinct()
     return with_distance(pairs, pts, distance, p)
 

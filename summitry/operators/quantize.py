@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distances
+from ..plans.cut import cut
 from .blocks import dense, grid
 
 #: Codes that travel together as one array.
@@ -233,12 +234,17 @@ def sort_codebook(codebook: DataFrame, mode: str) -> DataFrame:
     return codebook.withColumn("place", F.row_number().over(Window.orderBy(orders[mode], "code"))).select("place", "code", "vector", "freq")
 
 
+#: Parts into which the members of a cluster are dealt for a search.
+PARTS = 16
+
+
 def nearest_in_cluster(data: DataFrame, partition: DataFrame, ids: DataFrame, distance: str = "l2") -> DataFrame:
     """(id, nearest, dist): of each wanted point, the nearest other member of its cluster."""
     d = distances.get(distance)
     members = data.join(partition, "id")
-    left = members.join(ids.select("id"), "id", "left_semi").select(F.col("id").alias("i"), "cluster", F.col("vector").alias("vi"))
-    pairs = left.join(members.select("cluster", F.col("id").alias("j"), F.col("vector").alias("vj")), "cluster").where("i <> j")
+    left = members.join(ids.select("id"), "id", "left_semi").select(F.col("id").alias("i"), "cluster", F.col("vector").alias("vi"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    right = members.select("cluster", F.col("id").alias("j"), F.col("vector").alias("vj"), F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int").alias("part"))
+    pairs = left.join(right, ["cluster", "part"]).where("i <> j")
     best = pairs.groupBy("i").agg(F.min(F.struct(d(F.col("vi"), F.col("vj")).alias("dist"), "j")).alias("b"))
     return best.select(F.col("i").alias("id"), F.col("b.j").alias("nearest"), F.col("b.dist").alias("dist"))
 
@@ -270,7 +276,7 @@ def gabriel_neighbours(codebook: DataFrame) -> DataFrame:
     """(c1, c2): codes whose midpoint has no nearer code than the two."""
     a, b = codebook.toDF(*[f"{c}1" for c in codebook.columns]), codebook.toDF(*[f"{c}2" for c in codebook.columns])
     pairs = a.join(b, F.col("code1") < F.col("code2")).select("code1", "code2", F.zip_with("vector1", "vector2", lambda x, y: (x + y) / 2).alias("vector"))
-    mids = pairs.withColumn("id", F.monotonically_increasing_id()).persist()
+    mids = cut(pairs.withColumn("id", F.monotonically_increasing_id()))
     near = nearest_code(mids, codebook)
     return mids.join(near, "id").where((F.col("code") == F.col("code1")) | (F.col("code") == F.col("code2"))).select(F.col("code1").alias("c1"), F.col("code2").alias("c2"))
 

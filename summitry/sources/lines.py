@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.cut import cut
+
 # The beginnings of files, and the rule under a header.
 TRAINING_SET, CODEBOOK, PARTITIONING = "VQ TRAINING SET", "VQ CODEBOOK", "VQ PARTITIONING"
 FORMAT_VERSION = "2.0"
@@ -79,7 +81,7 @@ def encode_items(sets: DataFrame) -> DataFrame:
 
 def numbered_by(df: DataFrame, order: str) -> DataFrame:
     """Rows with their rank n from 0, by sorted partitions and prefix sums of their counts."""
-    ranked = df.orderBy(order).withColumn("mid", F.monotonically_increasing_id()).withColumn("part", F.shiftright("mid", 33)).persist()
+    ranked = cut(df.orderBy(order).withColumn("mid", F.monotonically_increasing_id()).withColumn("part", F.shiftright("mid", 33)))
     counts = {r["part"]: r["count"] for r in ranked.groupBy("part").count().collect()}
     rows, base = [], 0
     for part in sorted(counts):

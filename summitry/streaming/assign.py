@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators.quantize import nearest_code
+from ..plans.cut import cut
 from ..plans.model import Model
 
 
@@ -20,7 +21,7 @@ def label_batch(batch: DataFrame, model: Model, id_col: str = "id", value_col: s
 
 def label_stream(stream: DataFrame, model: Model, path: str, checkpoint: str, id_col: str = "id", value_col: str = "value"):
     """Starts a query that appends every batch's labels to a parquet table."""
-    book = model.centroids().select("code", "vector").cache()
+    book = cut(model.centroids().select("code", "vector"))
 
     def write(batch: DataFrame, number: int) -> None:
         found = nearest_code(batch.select(batch[id_col].alias("id"), batch[value_col].alias("vector")), book)

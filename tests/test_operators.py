@@ -1,12 +1,15 @@
 """Properties, hand-computed cases and differential tests of the operators."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from summitry.functions import distances, ngrams, vectors
 from summitry.operators import density, knn, quantize, ranking, validity
+from summitry.plans.cut import cut
 from summitry.plans.model import DensityPeaks, cluster_vectors, cluster_by
+from summitry.streaming import assign
 
 
 def one(spark, expression, **columns):
@@ -121,7 +124,7 @@ def test_indices_of_equal_labelings(spark):
         validity.evaluate(p, p, ("nothing",))
 
 
-def test_codebooks(spark):
+def test_codebooks(spark, monkeypatch):
     df = blobs(spark, 30)
     data, part = df.select("id", F.col("value").alias("vector")), df.select("id", F.col("truth").alias("cluster"))
     book = quantize.centroids(data, part, 4)
@@ -138,8 +141,11 @@ def test_codebooks(spark):
     assert quantize.all_in_own(data).select("cluster").distinct().count() == 30
     assert quantize.all_binary(data).first()[0] is False
     assert quantize.repartition_for_new(data, quantize.all_in_first(data), book, [2, 3]).where("cluster = 2").count() == 10
-    big = quantize._nearest_in_blocks(data, book.withColumn("code", F.col("code").cast("long")))
-    assert big.join(part.withColumnRenamed("cluster", "c"), "id").where("c <> code").count() == 0
+    want = sorted(tuple(r) for r in quantize.nearest_code(data, book, "l1").collect())
+    for numbers in (0, 1 << 20):  # codes in arrays of one, joined and broadcast
+        monkeypatch.setattr(quantize, "BOOK", 1)
+        monkeypatch.setattr(quantize, "BROADCAST_NUMBERS", numbers)
+        assert sorted(tuple(r) for r in quantize.nearest_code(data, book, "l1").collect()) == want
 
 
 def test_additive_density(spark):
@@ -155,3 +161,71 @@ def test_samples_repeat(spark):
     assert ranking.sample(df, 5, "id").collect() == ranking.sample(df.repartition(7), 5, "id").collect()
     assert df.select(ranking.uniform("id", 1).alias("u")).where("u < 0 or u >= 1").count() == 0
     assert df.select(ranking.integer("id", 1, 3, 6).alias("u")).where("u < 3 or u > 6").count() == 0
+
+
+def test_ties_in_exact_graphs(spark):
+    """399 points at one distance: the smallest ids are the neighbours; the same far from the origin."""
+    for shift in (0.0, 1e6):
+        rows = [(0, [shift, shift])] + [(i, [shift + 1.0, shift]) for i in range(1, 400)]
+        df = spark.createDataFrame(rows, "id long, value array<double>")
+        assert [r.dst for r in knn.brute(df, 3).where("src = 0").orderBy("rank").collect()] == [1, 2, 3]
+
+
+def test_exact_graphs_by_any_distance(spark):
+    words = [(i, w) for i, w in enumerate(["abc", "abd", "xbd", "xyd", "xyz", "abc", ""])]
+    df = spark.createDataFrame(words, "id long, value string")
+    lev = lambda a, b: pd.Series([len(set(x) ^ set(y)) for x, y in zip(a, b)], dtype=float)
+    got = {(r.src, r.dst, r.dist) for r in knn.brute(df, 2, "lev").collect()}
+    assert (0, 5, 0.0) in got and (0, 1, 1.0) in got and len(got) == 14
+    own = {(r.src, r.dst, r.dist) for r in knn.brute(df, 2, lev).collect()}
+    assert (0, 5, 0.0) in own and (0, 1, 2.0) in own and len(own) == 14
+
+
+def test_kernels_agree_with_expressions(spark):
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("abcd"), rng.integers(0, 9))) for _ in range(12)]
+    vectors = rng.integers(0, 3, (12, 5)).astype(float)
+    for name in ("lev", "dice", "l2sq", "l2floor", "entropy", "bjaccard", "bdice", "set"):
+        values = texts if name in ("lev", "dice") else [sorted(set(t)) for t in texts] if name == "set" else vectors.tolist()
+        kind = {"lev": "string", "dice": "string", "set": "array<string>"}.get(name, "array<double>")
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i long, v {kind}")
+        rows = df.crossJoin(df.toDF("j", "w")).select("i", "j", distances.get(name)(F.col("v"), F.col("w")).alias("d")).collect()
+        kernel = distances.values_kernel(name)
+        matrix = kernel(knn._values(values), knn._values(values))
+        for r in rows:
+            assert abs(matrix[r.i, r.j] - r.d) < 1e-9, (name, values[r.i], values[r.j])
+
+
+def test_recall_of_settled_graphs(spark):
+    """Default rounds on the table: nine of ten true neighbours at least."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").selectExpr("vec_id AS id", "CAST(embedding AS array<double>) AS value")
+    truth = cut(knn.brute(df, 10))
+    assert knn.recall(knn.build(df, 10, "rpdiv"), truth, 10).first().recall >= 0.9
+    names = spark.read.parquet("/root/testdata/sf0.001/part.parquet").selectExpr("p_partkey AS id", "concat(p_name, p_type) AS value")
+    close = cut(knn.brute(names, 5, "lev"))
+    found = knn.build(names, 5, "rpdiv", distance="lev")
+    length = lambda g: g.agg(F.sum("dist")).first()[0]
+    assert length(found) <= 1.05 * length(close)
+
+
+def test_labels_of_long_chains(spark):
+    stats = spark.createDataFrame([(i, i - 1 if i else None) for i in range(300)], "id long, nhd long")
+    peaks = spark.createDataFrame([(0, 1), (150, 2)], "id long, label int")
+    got = {r.id: r.label for r in density.propagate(stats, peaks).collect()}
+    assert got == {i: 1 if i < 150 else 2 for i in range(300)}
+
+
+def test_labels_of_a_stream(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(size=2) + 20 * (i % 2)]) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, value array<double>")
+    model = DensityPeaks(2, 8, "brutef").fit(df)
+    df.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    query = assign.label_stream(stream, model, f"{tmp_path}/out", f"{tmp_path}/state")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    got = {r.id: r.code for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert len(got) == 80 and all(got[i] == got[i % 2] for i in got) and got[0] != got[1]

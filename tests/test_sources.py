@@ -130,3 +130,16 @@ def test_viewer(spark):
     labels = spark.createDataFrame([(i, 1 + i % 30 // 25) for i in range(30)], "id long, label int")
     page = viewer.page(viewer.cluster_samples(texts, labels))
     assert page.count("<li>") == 25 and "&lt;" in page and "(size=25)" in page
+
+
+def test_lines_of_many_files(spark, tmp_path):
+    """Small files share partitions; their lines are numbered in path order."""
+    folder = tmp_path / "many"
+    folder.mkdir()
+    wanted = []
+    for i in range(60):
+        some = [f"{i}-{j}" for j in range(i % 4 + (i == 7) * 50)]
+        (folder / f"part-{i:05d}.txt").write_text("".join(x + "\n" for x in some))
+        wanted += some
+    got = {r.line: r.value for r in lines.numbered(spark, str(folder)).collect()}
+    assert got == dict(enumerate(wanted))

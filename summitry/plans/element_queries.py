@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlparse
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import distances, vectors
 from ..operators import knn, quantize, ranking
-from ..sources import lines
+from ..sources import binary, lines, viewer
 from .queries import _BOOK, _ERRORS, _L2, _V, K, _edges, _embeddings, _folder, _training, query, r6, table
 
 # Vectors
@@ -229,3 +231,53 @@ def roundtrip_codebook_text(spark, sf_dir):
     book = quantize.centroids(*_training(spark, sf_dir)).select(F.col("code").alias("id"), F.transform("vector", lambda x: x * 100).alias("features"))
     lines.write_vectors(book, path, 6)
     return lines.read_codebook_text(spark, path).select("idx", F.aggregate("vector", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+
+
+def _local(spark, name: str) -> str:
+    """A path for the writers of single binary files."""
+    return urlparse(_folder(spark, name)).path
+
+
+@query("roundtrip_ivec", f"WITH {_L2} SELECT src, dst, rank::INT AS rank FROM near")
+def roundtrip_ivec(spark, sf_dir):
+    path = _local(spark, "ivec")
+    binary.write_ivec(_edges(spark, sf_dir), path)
+    return binary.read_ivec(spark, f"file://{path}").select("src", "dst", "rank")
+
+
+@query("roundtrip_lshkit", "SELECT (row_number() OVER (ORDER BY vec_id) - 1)::BIGINT AS id, round(embedding[1]::DOUBLE, 6) AS x0, round(embedding[64]::DOUBLE, 6) AS x63 FROM embeddings")
+def roundtrip_lshkit(spark, sf_dir):
+    path = _local(spark, "lshkit")
+    binary.write_lshkit(_embeddings(spark, sf_dir), path, "value")
+    return binary.read_lshkit(spark, f"file://{path}").select("id", r6(F.col("features")[0]).alias("x0"), r6(F.col("features")[63]).alias("x63"))
+
+
+@query("roundtrip_codebook", "SELECT (row_number() OVER (ORDER BY p_partkey) - 1)::BIGINT AS idx, p_brand AS name, p_size AS x0, floor(p_retailprice)::INT AS x1, (1 + p_size % 3)::INT AS freq FROM part")
+def roundtrip_codebook(spark, sf_dir):
+    path = _local(spark, "codebook")
+    rows = table(spark, sf_dir, "part").select(F.struct("p_partkey").alias("at"), F.col("p_brand").alias("name"), F.array(F.col("p_size").cast("int"), F.floor("p_retailprice").cast("int")).alias("vector"), (1 + F.col("p_size") % 3).cast("int").alias("freq"))
+    binary.write_codebook(lines.numbered_by(rows, "at").withColumnRenamed("n", "idx"), path)
+    return binary.read_codebook(spark, f"file://{path}").select("idx", "name", F.col("vector")[0].alias("x0"), F.col("vector")[1].alias("x1"), "freq")
+
+
+@query("roundtrip_graph", f"WITH {_L2} SELECT src, dst, rank::INT AS rank, label FROM near JOIN (SELECT vec_id AS src, label FROM embeddings) USING (src)")
+def roundtrip_graph(spark, sf_dir):
+    path = _folder(spark, "graph")
+    nodes = _embeddings(spark, sf_dir).select(F.col("id").alias("index"), F.array("label").alias("data"))
+    lines.write_graph(nodes, _edges(spark, sf_dir), path)
+    found, edges, _ = lines.read_graph(spark, path)
+    return edges.join(found.withColumnRenamed("index", "src"), "src").select("src", "dst", F.col("rank").cast("int").alias("rank"), F.col("data")[0].alias("label"))
+
+
+@query("string_graph_lines", f"WITH {_L2}, n AS (SELECT src, string_agg(dst::VARCHAR, ',' ORDER BY rank) AS near FROM near GROUP BY src) SELECT (row_number() OVER (ORDER BY src) - 1)::BIGINT AS line, src::VARCHAR AS text, near FROM n")
+def string_graph_lines(spark, sf_dir):
+    path = _folder(spark, "wgraph")
+    names = _embeddings(spark, sf_dir).select("id", F.col("id").cast("string").alias("text"))
+    lines.write_string_graph(_edges(spark, sf_dir), names, path)
+    near = F.regexp_replace(F.regexp_replace(F.split("value", ": ")[1], r"\([^)]*\), $", ""), r"\([^)]*\), ", ",")
+    return lines.numbered(spark, path).select("line", F.split("value", ": ")[0].alias("text"), near.alias("near"))
+
+
+@query("graph_preview", f"WITH {_L2} SELECT src, string_agg(dst::VARCHAR, ' ' ORDER BY rank) AS near FROM near WHERE src < 5 GROUP BY src")
+def graph_preview(spark, sf_dir):
+    return viewer.first_lists(_edges(spark, sf_dir), 5)

@@ -20,6 +20,13 @@ def cluster_samples(texts: DataFrame, labels: DataFrame, k: int = SAMPLES, seed:
     return sizes.join(some, "label").select("label", "size", F.transform("s", lambda x: x["text"]).alias("samples"))
 
 
+def first_lists(edges: DataFrame, n: int) -> DataFrame:
+    """(src, near): the neighbours of the first n points, for a look at a graph."""
+    first = edges.select("src").distinct().orderBy("src").limit(n)
+    near = edges.join(F.broadcast(first), "src").groupBy("src").agg(F.array_sort(F.collect_list(F.struct("rank", "dst"))).alias("e"))
+    return near.select("src", F.concat_ws(" ", F.transform("e", lambda x: x["dst"].cast("string"))).alias("near"))
+
+
 def page(samples: DataFrame) -> str:
     parts = []
     for r in samples.orderBy("label").toLocalIterator():

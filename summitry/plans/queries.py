@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +43,7 @@ def _stats(spark, sf_dir, exact: bool = False) -> DataFrame:
 
 
 def _successors(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Each row with the row of the next id: an equi-join, linear in the table."""
+    """Each row with the row of the next id, if there is one: an equi-join, linear in the table."""
     right = df.select((F.col(key) - 1).alias(key), F.col(value).alias("b"))
     return df.select(key, F.col(value).alias("a")).join(right, key)
 
@@ -97,24 +98,32 @@ _GRAMS = """, g AS (SELECT s, k, substr(s, i::BIGINT, k::BIGINT) AS gram, count(
  d AS (SELECT p.a, p.b, r.k, coalesce(2.0 * m.both / (u.size + v.size), 0) AS dice FROM p, range(2, 4) r(k) LEFT JOIN m ON m.a = p.a AND m.b = p.b AND m.k = r.k LEFT JOIN z u ON u.s = p.a AND u.k = r.k LEFT JOIN z v ON v.s = p.b AND v.k = r.k)"""
 
 
-def _name_pairs(spark, sf_dir) -> DataFrame:
-    names = table(spark, sf_dir, "part").select("p_name").where("p_name is not null").distinct()
-    return names.toDF("a").join(names.toDF("b"), F.col("a") < F.col("b"))
+# Two strings of each row: linear in the table
+_TWO = "WITH p AS (SELECT p_partkey AS id, p_name AS a, p_type AS b FROM part WHERE p_name IS NOT NULL AND p_type IS NOT NULL)"
+_TWO_GRAMS = """, s AS (SELECT id, 0 AS side, a AS s FROM p UNION ALL SELECT id, 1, b FROM p),
+ g AS (SELECT id, side, k, substr(s, i::BIGINT, k::BIGINT) AS gram, count(*) AS c FROM s, range(2, 4) r(k), range(1, 200) t(i) WHERE i <= length(s) - k + 1 GROUP BY ALL),
+ z AS (SELECT id, k, sum(c) AS size FROM g GROUP BY ALL),
+ m AS (SELECT x.id, x.k, sum(least(x.c, y.c)) AS both FROM g x JOIN g y ON x.id = y.id AND x.gram = y.gram AND x.k = y.k AND x.side = 0 AND y.side = 1 GROUP BY ALL),
+ d AS (SELECT z.id, z.k, coalesce(2.0 * m.both / z.size, 0) AS dice FROM z LEFT JOIN m ON m.id = z.id AND m.k = z.k)"""
 
 
-@query("dist_levenshtein", _NAMES + " SELECT a, b, levenshtein(a, b)::DOUBLE AS dist FROM p")
+def _two_strings(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("a"), F.col("p_type").alias("b")).where("a is not null and b is not null")
+
+
+@query("dist_levenshtein", _TWO + " SELECT id, levenshtein(a, b)::DOUBLE AS dist FROM p")
 def dist_levenshtein(spark, sf_dir):
-    return _name_pairs(spark, sf_dir).select("a", "b", distances.levenshtein(F.col("a"), F.col("b")).alias("dist"))
+    return _two_strings(spark, sf_dir).select("id", distances.levenshtein(F.col("a"), F.col("b")).alias("dist"))
 
 
-@query("dist_dice_bigram", _NAMES + _GRAMS + " SELECT a, b, round(1 - dice, 6) AS dist FROM d WHERE k = 2")
+@query("dist_dice_bigram", _TWO + _TWO_GRAMS + " SELECT id, round(1 - dice, 6) AS dist FROM d WHERE k = 2")
 def dist_dice_bigram(spark, sf_dir):
-    return _name_pairs(spark, sf_dir).select("a", "b", r6(1 - ngrams.dice(F.col("a"), F.col("b"), 2)).alias("dist"))
+    return _two_strings(spark, sf_dir).select("id", r6(1 - ngrams.dice(F.col("a"), F.col("b"), 2)).alias("dist"))
 
 
-@query("dist_dice_string", _NAMES + _GRAMS + " SELECT a, b, round(0.9 * (1 - max(CASE WHEN k = 3 THEN dice END)) + 0.1 * (1 - max(CASE WHEN k = 2 THEN dice END)), 6) AS dist FROM d GROUP BY a, b")
+@query("dist_dice_string", _TWO + _TWO_GRAMS + " SELECT id, round(0.9 * (1 - max(CASE WHEN k = 3 THEN dice END)) + 0.1 * (1 - max(CASE WHEN k = 2 THEN dice END)), 6) AS dist FROM d GROUP BY id")
 def dist_dice_string(spark, sf_dir):
-    return _name_pairs(spark, sf_dir).select("a", "b", r6(ngrams.string_dice(F.col("a"), F.col("b"))).alias("dist"))
+    return _two_strings(spark, sf_dir).select("id", r6(ngrams.string_dice(F.col("a"), F.col("b"))).alias("dist"))
 
 
 @query("dice_join_trigram", _NAMES + _GRAMS + " SELECT a, b, round(dice, 6) AS dice FROM d WHERE k = 3 AND dice > 0")
@@ -133,7 +142,8 @@ def dist_dice_set(spark, sf_dir):
 @query("custom_distance", _NEXT.format(e=_VECTOR_SQL["l2"]))
 def custom_distance(spark, sf_dir):
     def own(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([sum((x - y) ** 2 for x, y in zip(u, v)) ** 0.5 for u, v in zip(a, b)])
+        x, y = np.stack(a.to_numpy()), np.stack(b.to_numpy())
+        return pd.Series(np.sqrt(((x - y) ** 2).sum(1)))
 
     pairs = _successors(_embeddings(spark, sf_dir).withColumnRenamed("id", "vec_id"), "vec_id", "value")
     return pairs.select("vec_id", r6(knn.expression(own)(F.col("a"), F.col("b"))).alias("dist"))

@@ -15,7 +15,9 @@ import uuid
 import zlib
 from urllib.parse import urlparse
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +30,13 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that all machines see; an own one only where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
+        # a name without a scheme is in the default file system, whatever that is
+        path = spark._jvm.org.apache.hadoop.fs.Path(named)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     own = getattr(shared_folder, "own", None)
     if own is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         own = shared_folder.own = tempfile.mkdtemp(prefix="shared-")
         atexit.register(shutil.rmtree, own, True)
     return f"file://{own}"
@@ -42,8 +48,22 @@ def local_path(uri: str) -> str | None:
     return parts.path if parts.scheme in ("", "file") else None
 
 
+def exists(spark: SparkSession, uri: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def delete(spark: SparkSession, uri: str) -> None:
+    """Deletes a folder of any file system; at the session's end there may be nothing left to ask."""
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001
+        pass
+
+
 class Scratch:
-    """Named parquet tables of one operator run, dropped as soon as they are used up."""
+    """Named parquet tables of one operator run, dropped when used up, at the latest when Python ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -51,6 +71,8 @@ class Scratch:
         local = local_path(self.base)
         if local:
             atexit.register(shutil.rmtree, local, True)
+        else:
+            atexit.register(delete, spark, self.base)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -60,10 +82,11 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(schema).parquet(self.path(name))
 
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.path(name))
+
     def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, self.path(name))
 
 
 def crc32_of(column: Column | str) -> Column:
@@ -86,30 +109,53 @@ def text_bytes(column: Column | str) -> Column:
     return F.coalesce(F.octet_length(column), F.lit(0)).cast("long")
 
 
-#: Bits of the id filter: a table of at most BITS / 64 rows, whatever the number of ids.
-BITS = 1 << 23
+#: Bits of the id filter at most, so that its table has 2**20 rows (16 MB) at most, whatever the number of ids.
+MOST_BITS = 1 << 26
 
 
-def id_bitmap(ids: DataFrame, column: str) -> DataFrame:
-    """A bit for the hash of every id: (word, bits), of bounded size."""
-    h = ids.select(F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(BITS)).alias("h"))
-    return h.groupBy(F.expr("h div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("bits"))
+def id_bitmap(ids: DataFrame, column: str, rows: int) -> tuple[DataFrame, int]:
+    """A bit for the hash of every id, as (word, bits), and the number of bits; ``rows`` counts the ids."""
+    size = min(MOST_BITS, max(1 << 12, 1 << (16 * rows).bit_length()))
+    h = ids.select(F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(size)).alias("h"))
+    return h.groupBy(F.expr("h div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("bits")), size
 
 
-def maybe_in(df: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
-    """Rows whose id may be among those of the bitmap; an exact join has to follow."""
-    h = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(BITS))
-    marked = df.withColumn("_bit", h).withColumn("word", F.expr("_bit div 64"))
-    return marked.join(F.broadcast(bitmap), "word").where(F.expr("shiftright(bits, cast(_bit % 64 as int)) & 1") == 1).drop("_bit", "word", "bits")
+def marked(df: DataFrame, column: str, bitmap: tuple[DataFrame, int]) -> DataFrame:
+    """Adds ``_maybe``: whether the id may be among those of the bitmap; an exact join has to follow.
 
+    The columns _bit, _word, _bits and _maybe are this function's own.
+    """
+    words, size = bitmap
+    df = df.withColumn("_bit", F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(size)))
+    df = df.withColumn("_word", F.expr("_bit div 64"))
+    hit = F.coalesce(F.expr("shiftright(_bits, cast(_bit % 64 as int)) & 1") == 1, F.lit(False))
+    return df.join(F.broadcast(words.select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))), "_word", "left").withColumn("_maybe", hit).drop("_bit", "_word", "_bits")
 
-#: Rows of (long, long) that may be broadcast: about 64 MB.
-BROADCAST_ROWS = 1_000_000
 
+def without(df: DataFrame, column: str, ids: DataFrame, rows: int) -> DataFrame:
+    """Rows whose id isn't among ``ids`` (one column of that name); only rows that may be are shuffled."""
+    flagged = marked(df, column, id_bitmap(ids, column, rows))
+    sure = flagged.where(~F.col("_maybe")).drop("_maybe")
+    doubtful = flagged.where("_maybe").drop("_maybe").join(ids, column, "left_anti")
+    return sure.select(df.columns).unionByName(doubtful.select(df.columns))
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcasts a table whose counted rows are few enough, else leaves the join to Spark."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+#: Keys that hold more than one in so many of all rows count as hot; there are at most this many of them.
+SHARE = 10_000
+
+
+def join_split(left: DataFrame, right: DataFrame, key: str, copies: str, total: int, how: str = "inner") -> DataFrame:
+    """Joins ``right``, one row a key with the number of its copies among ``total`` rows, to ``left``.
+
+    Rows of hot keys stay where they are and get the few hot rows of ``right`` by
+    broadcast (at most ``SHARE`` rows, by the definition of hot); the others are
+    shuffled by the key.  ``how`` is inner or left.
+    """
+    hot = F.col(copies) * SHARE > max(total, 100 * SHARE)
+    few = right.where(hot).drop(copies)
+    warm = left.join(F.broadcast(few), key)
+    cold = left.join(F.broadcast(few.select(key)), key, "left_anti").join(right.where(~hot).drop(copies), key, how)
+    return warm.unionByName(cold)
 
 
 #: What a batch that goes to Python holds at most: rows, and about as many bytes.
@@ -143,14 +189,27 @@ def move_in(name: str) -> None:
     _tenant["name"] = name
 
 
+def slices(batch: pa.RecordBatch):
+    """Runs of rows of a batch, of bounded number and size; a longer row is a run of its own."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(size)
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = min(at + BATCH_ROWS, max(at + 1, int(np.searchsorted(ends, before + BATCH_BYTES, "right"))), batch.num_rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def in_arrow(df: DataFrame, run, schema, name: str) -> DataFrame:
     """mapInArrow over batches of bounded size, in a worker without other operators' memories."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def task(batches):
         move_in(name)
-        yield from run(batches)
+        yield from run(part for b in batches for part in slices(b))
         give_back()
 
     return df.mapInArrow(task, schema)

@@ -333,11 +333,25 @@ def dimension_stats(data: DataFrame) -> DataFrame:
     return parts.groupBy("dim").agg(F.avg("x").alias("mean"), F.min("x").alias("least"), F.max("x").alias("most"), F.countDistinct("x").alias("n_unique"))
 
 
+#: Equal parts of a dimension's range that are counted before any sort.
+BINS = 1024
+
+
 def dimension_nth(data: DataFrame, n: int) -> DataFrame:
-    """(dim, value): the n-th smallest value of each dimension, from 0; ties count."""
-    parts = data.select("id", F.posexplode("vector").alias("dim", "x"))
+    """(dim, value): the n-th smallest value of each dimension, from 0; ties count.
+
+    Counts of bins tell which bin of each dimension holds it; only that one is sorted.
+    """
+    parts = data.select("id", F.posexplode("vector").alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
+    ends = parts.groupBy("dim").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    place = F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * BINS)
+    binned = parts.join(F.broadcast(ends), "dim").select("id", "dim", "x", F.when(F.col("high") > F.col("low"), place).otherwise(0).cast("long").alias("bin"))  # a row for each dimension
+    counts = binned.groupBy("dim", "bin").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("dim").orderBy("bin"))
+    holds = counts.withColumn("upto", upto).where((F.col("upto") > n) & (F.col("upto") - F.col("c") <= n)).select("dim", "bin", (F.col("upto") - F.col("c")).alias("before"))
     order = Window.partitionBy("dim").orderBy("x", "id")
-    return parts.withColumn("r", F.row_number().over(order)).where(F.col("r") == n + 1).select("dim", F.col("x").cast("double").alias("value"))
+    ranked = binned.join(F.broadcast(holds), ["dim", "bin"]).withColumn("r", F.row_number().over(order) + F.col("before"))
+    return ranked.where(F.col("r") == n + 1).select("dim", F.col("x").alias("value"))
 
 
 def unique_values(data: DataFrame, dim: int) -> DataFrame:

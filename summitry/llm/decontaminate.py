@@ -18,8 +18,9 @@ what is sent to executors is bounded for benchmarks of any size.
 
 Edge cases: items and documents without words match nothing; an item or window of
 fewer than five words is one shingle; items that repeat match each; ties between
-windows go to the earliest; null ids are carried; documents are read whole; an
-empty documents or benchmark table gives no rows.
+windows go to the earliest; null document ids and null item ids are carried;
+documents are read whole; an empty documents or benchmark table gives no matches;
+other columns play no part in a match, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from . import bytesops, common
 SIMILARITY = 0.8
 #: Bits that fingerprints may differ by, and the blocks of the index.
 RADIUS, BLOCKS = 24, 8
+#: Window-item pairs looked at in one go, and windows fingerprinted in one go.
+CELLS, RUN = 1 << 22, 1 << 14
 #: Items sent to the executors at a time.
 SLICE = 20_000
 
@@ -87,7 +90,12 @@ class HammingIndex:
                 self.table[k, value ^ near, i] = True
 
     def search(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, item, distance) of all pairs within the radius."""
+        """(window, item, distance) of all pairs within the radius; windows in runs of bounded size."""
+        run = max(1, CELLS // max(1, len(self.prints)))
+        found = [self._search(prints[at : at + run], at) for at in range(0, len(prints), run)]
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, int),) * 3
+
+    def _search(self, prints: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         parts = prints.view(np.uint8).reshape(len(prints), -1)
         maybe = self.table[0, parts[:, 0]].copy()
         for k in range(1, parts.shape[1]):
@@ -95,7 +103,7 @@ class HammingIndex:
         window, item = np.nonzero(maybe)
         distance = np.bitwise_count(prints[window] ^ self.prints[item]).astype(np.int64)
         ok = distance <= self.radius
-        return window[ok], item[ok], distance[ok]
+        return window[ok] + base, item[ok], distance[ok]
 
 
 class Benchmark:
@@ -146,12 +154,15 @@ class Benchmark:
             while to + 1 < len(places) and places[to + 1] - places[to] < 2 * size:
                 to += 1
             low, high = max(0, places[at] - size + 1), min(b - a - bytesops.SHINGLE + 1 if b - a >= bytesops.SHINGLE else 1, places[to] + size)
-            h, w = features(words, a + low, min(b, a + high + bytesops.SHINGLE - 1))
-            if len(h) >= size:
+            for first in range(low, max(low + 1, high - size + 1), RUN):  # windows of a stretch, a run at a time
+                last = min(high, first + RUN + size - 1)
+                h, w = features(words, a + first, min(b, a + last + bytesops.SHINGLE - 1))
+                if len(h) < size:
+                    continue
                 for window, item, distance in zip(*self.index[n].search(window_fingerprints(h, w, size))):
                     name, ih, iw = self.items[n][item]
                     similarity = weighted_overlap((h[window : window + size], w[window : window + size]), (ih, iw))
-                    key = (-similarity, low + window)
+                    key = (-similarity, first + window)
                     if similarity >= SIMILARITY and (item not in best or key < best[item][0]):
                         best[item] = (key, int(distance))
             at = to + 1
@@ -201,7 +212,7 @@ def slices(benchmark: DataFrame):
     n = max(1, -(-items.count() // SLICE))
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        rows = sorted((r["item_id"], r["text"]) for r in part.collect())
+        rows = sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
         yield Benchmark([r[0] for r in rows], [r[1].encode() for r in rows])
 
 

@@ -8,8 +8,10 @@ backpropagation through time, on the driver, from a bounded sample of rows.
 
 Edge cases: null text and text without a letter give ``und`` with score 0; so does
 everything where no row can be learned from; ties between languages go to the
-first in sorted order; very long texts are read whole, block by block; an empty
-table gives no rows; input columns other than doc_id and text are never read.
+first in sorted order; very long texts are read whole, block by block; repeated rows
+get the same answer each; an empty table gives no rows; input columns other than
+doc_id and text are never read for a prediction.  Learning takes ``PER_ROW`` windows
+of each sampled row, spread over its whole text.
 """
 
 from __future__ import annotations

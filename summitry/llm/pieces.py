@@ -21,7 +21,8 @@ the order of the search.
 
 Edge cases: null and empty texts have one segmentation without pieces; texts with
 fewer than N segmentations return fewer; U+2581 in a text decodes as a blank;
-repeated rows and null ids are kept; an empty table gives no rows.
+very long texts are searched whole, unit by unit; repeated rows and null ids are
+kept; an empty table gives no rows; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations

@@ -41,11 +41,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 TOP_K_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
 SELECT query_id, rank, vec_id, score FROM (
-  SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM (
-    SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.v, x.v)::BIGINT AS score FROM v q JOIN v x ON x.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0))
+  SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id, xr)::INT AS rank FROM (
+    SELECT q.r AS qr, x.r AS xr, q.vec_id AS query_id, x.vec_id, list_inner_product(q.v, x.v)::BIGINT AS score FROM v q JOIN v x ON x.r <> q.r WHERE q.vec_id % 20 = 0))
 WHERE rank <= 20"""
 
 JACCARD_SQL = r"""

@@ -12,7 +12,8 @@ lost and repeated tasks leave nothing but equal files.
 
 Edge cases: null and empty texts hold the end id alone; rows with equal ids stand
 side by side in text order; null ids come first and are stored as the smallest
-64-bit integer; an empty table gives a manifest without parts.
+64-bit integer; very long texts are encoded whole, with one text's ids in memory;
+an empty table gives a manifest without parts; other columns are not written.
 """
 
 from __future__ import annotations

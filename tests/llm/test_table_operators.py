@@ -112,9 +112,38 @@ def test_search_of_large_components(spark):
     assert got == {(q, r, i) for q, best in exact.items() for r, (_, i) in enumerate(best, 1)}
 
 
+def test_search_of_repeated_ids(spark):
+    """Rows that share an id are queries of their own and candidates of each other."""
+    rng = np.random.default_rng(4)
+    rows = [(i % 25, [float(x) for x in rng.normal(size=4)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = Counter(tuple(r)[:4] for r in pivotsearch.top_k(df, 4, 20).collect())
+    whole = [[int(np.floor(64 * x)) for x in v] for _, v in rows]
+    want = Counter()
+    for a, (q, _) in enumerate(rows):
+        if q % 20 == 0:
+            best = sorted((-sum(x * y for x, y in zip(whole[a], whole[b])), i, b) for b, (i, _) in enumerate(rows) if b != a)[:4]
+            want.update((q, r, i, -s) for r, (s, i, _) in enumerate(best, 1))
+    assert got == want
+
+
+def test_search_stops_early_where_pivots_tell(spark):
+    """In few dimensions most candidates are never evaluated."""
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=2) * 9]) for i in range(6000)], "vec_id long, embedding array<double>")
+    seen = pivotsearch.top_k(df, 5, 50).groupBy("query_id").agg(F.max("evaluated").alias("n")).agg(F.avg("n")).first()[0]
+    assert seen < 2500
+
+
 # shards
 
 
+def test_shards_of_null_and_repeated_records(spark):
+    docs = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise(F.lit(7)).cast("long").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("the same text")).otherwise(F.concat(F.lit("text "), "id")).alias("text"))
+    sizes = sharding.shard_records(docs, 8, 512).groupBy("shard").agg(F.sum("size").alias("b")).toPandas().b
+    assert len(sizes) == 8 and sizes.max() / sizes.min() < 1.02
+
+
 def test_shards(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents")
     rows = entry.queries()["op10_virtual_slots"](spark, sf_dir).collect()
@@ -177,7 +206,13 @@ def test_pipeline(spark, sf_dir):
 def test_pipeline_over_odd_rows(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents").limit(0)
     more = spark.createDataFrame([(0, None, None, None, None), (1, "", "en", "s", 0), (2, "die und der " * 50_000, "de", "s", 5), (None, "the the", "en", "s", 3), (2, "die und der " * 50_000, "de", "s", 5)], docs.schema)
+    more = more.withColumn("score", F.lit("mine")).withColumn("key", F.lit(1))
     for df in (docs, more):
-        for _, stage in corpus_pipeline.STAGES:
+        first = df
+        for _, stage in corpus_pipeline.STAGES[:-1]:
             df = stage(spark, df, sf_dir)
-        assert df.count() >= 0
+            # columns as they came; rows that repeat id and text stay or go together
+            assert df.columns == first.columns and df.where("doc_id = 2").count() in (0, 2)
+            assert df.exceptAll(first).isEmpty()
+        last = corpus_pipeline.STAGES[-1][1](spark, df, sf_dir)
+        assert last.select("doc_id").distinct().count() == df.select("doc_id").distinct().count()

@@ -164,6 +164,15 @@ def test_token_counts_use_the_cache(spark, tmp_path):
     assert tokencount.token_counts(docs.limit(0), str(tmp_path / "none")).count() == 0
 
 
+def test_each_text_is_encoded_once(spark, tmp_path):
+    """Copies under other ids, the same id and null ids: one row of the cache for each text."""
+    rows = [(None, "one text")] * 50 + [(i, "one text") for i in range(20)] + [(5, "one text")] * 10 + [(5, "another"), (6, "another"), (None, None), (7, ""), (8, "third")]
+    cache = str(tmp_path / "cache")
+    got = tokencount.token_counts(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), cache)
+    assert got.count() == len(rows) and got.groupBy("n_bytes").count().count() == 4
+    assert spark.read.parquet(cache).count() == 4
+
+
 def test_token_files(spark, tmp_path):
     docs = odd(spark).repartition(3)
     uri = f"file://{tmp_path}/tokens"
@@ -336,6 +345,43 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(documents(spark, texts).limit(0), bench).count() == 0
 
 
+def test_decontamination_against_brute_force(spark):
+    """All windows of all texts: what holds 0.8 of an item's weight is found, within the recall of the radius."""
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    items = [words(rng.choice((8, 20, 45))) for _ in range(25)]
+    texts = []
+    for k in range(260):
+        copy = list(items[k % 25])
+        for at in rng.sample(range(len(copy)), rng.randrange(0, 3)):
+            copy[at] = words(1)[0]
+        texts.append(" ".join(words(rng.randrange(0, 30)) + copy + words(rng.randrange(0, 30))))
+    bench = [(None if k == 3 else k, " ".join(w)) for k, w in enumerate(items)] + [(None, " ".join(items[4])), (90, None), (91, "")]
+    found = decontaminate.contaminated(documents(spark, texts), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id) for r in found}
+
+    def shingles(w):
+        return [(tuple(w[i : i + 5]), sum(map(len, w[i : i + 5]))) for i in range(len(w) - 4)]
+
+    want = set()
+    for d, t in enumerate(texts):
+        w = t.split()
+        for name, item in bench:
+            i = (item or "").split()
+            weight = shingles(i)
+            need = Counter(s for s, _ in weight)
+            if not weight or not need.keys() & {s for s, _ in shingles(w)}:
+                continue
+            worth = dict(weight)
+            for at in range(max(1, len(w) - len(i) + 1)):
+                have = Counter(s for s, _ in shingles(w[at : at + len(i)]))
+                if sum(min(n, have[s]) * worth[s] for s, n in need.items()) >= 0.8 * sum(x for _, x in weight) - 1e-9:
+                    want.add((d, name))
+                    break
+    assert got <= want and len(got) >= 0.98 * len(want) > 100
+    assert {r.item_id for r in found} >= {None, 0, 4}
+
+
 def test_items_in_slices(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "SLICE", 2)
     bench = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(7)], "item_id long, text string")

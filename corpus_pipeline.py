@@ -11,7 +11,11 @@ decontamination  documents that hold a benchmark item go
 pieces           the n best piece segmentations of each text, as digests
 
 Rows with null texts pass as empty texts do: they are not toxic, but have no
-language, so the second stage drops them.  Stages over an empty table return none.
+language, so the second stage drops them.  Rows without an id are kept or dropped by
+their text like others, but are nobody's near copy; rows that repeat an id and text
+stay or go together.  Ties follow the operators' rules.  Texts of any length are read
+whole.  Extra columns, also such that are called like an operator's own, pass through
+all stages but the last.  Stages over an empty table return none.
 """
 
 from __future__ import annotations

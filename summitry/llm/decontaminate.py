@@ -40,7 +40,7 @@ RADIUS, BLOCKS = 24, 8
 #: Window-item pairs looked at in one go, and windows fingerprinted in one go.
 CELLS, RUN = 1 << 22, 1 << 14
 #: Items sent to the executors at a time.
-SLICE = 20_000
+SLICE = 5_000
 
 
 def features(words: bytesops.Words, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:

@@ -58,7 +58,9 @@ ROUNDS = 2
 #: Members that are compared with one copy of a leader.
 GROUP = 500
 #: Shingles in one side of a cell, apart from a set's own size.
-CELL = 1 << 20
+CELL = 1 << 18
+#: Doublings of the pointers to leaders.
+HOPS = 2
 #: Of so many signatures one votes for the first leaders.
 VOTING = 4
 
@@ -281,6 +283,20 @@ def choose_leads(rows: DataFrame, scratch: common.Scratch, name: str) -> DataFra
     return chosen
 
 
+def follow(chosen: DataFrame, scratch: common.Scratch, name: str) -> DataFrame:
+    """(key, chosen): the leader at the end of each one's chain of leaders, within ``HOPS`` doublings.
+
+    A leader is at least as heavy as its followers, so chains end, at sets that lead
+    themselves; one outside the table ends a chain, too.  Copies of one text follow its
+    most central version this way even where they share more with each other.
+    """
+    for hop in range(HOPS):
+        onward = chosen.select(F.col("key").alias("chosen"), F.col("chosen").alias("further"))
+        chosen = chosen.join(onward, "chosen", "left").select("key", F.coalesce("further", "chosen").alias("chosen"))
+        chosen = scratch.save(chosen, f"{name}-{hop}")
+    return chosen
+
+
 class _Sets:
     """Sets of one side of a cell, by shingle."""
 
@@ -422,12 +438,10 @@ def set_links(docs: DataFrame, info: DataFrame, scratch: common.Scratch) -> Data
             left = left.join(chosen, "key")
         else:
             left = left.join(rows.select("key").distinct(), "key", "left_semi")
-        # a leader is in its own group, whichever set it follows itself
         group = f"group_{k}"
         left = scratch.save(left, f"left-{k}")
-        leads = left.select(F.col("chosen").alias("key"), F.lit(True).alias("leads")).distinct()
-        left = left.join(leads, "key", "left").withColumn(group, F.when(F.col("leads"), F.col("key")).otherwise(F.col("chosen"))).drop("leads", "chosen")
-        left = scratch.save(left, f"grouped-{k}")
+        groups_of = follow(left.select("key", "chosen"), scratch, f"follow-{k}")
+        left = scratch.save(left.drop("chosen").join(groups_of.withColumnRenamed("chosen", group), "key"), f"grouped-{k}")
         # most sets of a group have the most frequent label; the others meet all
         sizes = left.groupBy(group, "label").agg(F.count("*").alias("c"))
         mains = sizes.groupBy(group).agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("c")).where("c > 1").drop("c")

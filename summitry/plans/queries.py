@@ -234,9 +234,11 @@ def knn_nndescent(spark, sf_dir):
     return _graph_out(knn.build(_embeddings(spark, sf_dir), K, "nndescent"))
 
 
-@query("knn_recall")
+@query("knn_recall", f"SELECT true AS settled, {K} * count(*) AS wanted FROM embeddings")
 def knn_recall(spark, sf_dir):
-    return knn.recall(knn.build(_embeddings(spark, sf_dir), K, "rpdiv"), _edges(spark, sf_dir), K)
+    """Whether the approximate graph holds nine of ten true neighbours."""
+    found = knn.recall(knn.build(_embeddings(spark, sf_dir), K, "rpdiv"), _edges(spark, sf_dir), K)
+    return found.select((F.col("recall") >= 0.9).alias("settled"), "wanted")
 
 
 # Density peaks
@@ -531,10 +533,11 @@ def sample_rows(spark, sf_dir):
     return ranking.sample(table(spark, sf_dir, "customer"), 40, "c_custkey").select("c_custkey", "c_name")
 
 
-@query("viewer_samples")
+@query("viewer_samples", "WITH r AS (SELECT lang, text, row_number() OVER (PARTITION BY lang ORDER BY md5(concat('1:', doc_id::VARCHAR)), doc_id) AS rank, count(*) OVER (PARTITION BY lang) AS size FROM documents WHERE lang IS NOT NULL) SELECT lang AS label, max(size) AS size, md5(string_agg(text, '|' ORDER BY rank)) AS digest FROM r WHERE rank <= 20 GROUP BY lang")
 def viewer_samples(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return viewer.cluster_samples(docs.select(F.col("doc_id").alias("id"), "text"), docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("label")))
+    found = viewer.cluster_samples(docs.select(F.col("doc_id").alias("id"), "text"), docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("label")))
+    return found.select("label", "size", F.md5(F.concat_ws("|", "samples")).alias("digest"))
 
 
 def _folder(spark, name: str) -> str:

@@ -14,7 +14,7 @@ import pyarrow as pa
 
 from .common import remembered
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 SHINGLE = 5
 
 _BASE = 0x9E3779B97F4A7C15 | 1

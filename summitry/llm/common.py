@@ -204,8 +204,21 @@ def slices(batch: pa.RecordBatch):
         at = to
 
 
+def _lower_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to the sizes above, and never raises what is lower.
+
+    The plan takes these settings when it runs, so they stay; batches of the default
+    size took an executor beyond 3000 MB.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+
+
 def in_arrow(df: DataFrame, run, schema, name: str) -> DataFrame:
     """mapInArrow over batches of bounded size, in a worker without other operators' memories."""
+    _lower_batches(df.sparkSession)
 
     def task(batches):
         move_in(name)

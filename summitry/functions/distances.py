@@ -152,6 +152,17 @@ def pair_kernel(name: str, p: float | None = None) -> Callable[[np.ndarray, np.n
     return lambda a, b: (np.abs(a - b) ** power).sum(-1)
 
 
+def ordered_kernel(name: str, p: float | None = None) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Distances of paired rows, added up in the order of the expression, so that the last digits agree."""
+    total = lambda t: np.cumsum(t, axis=-1)[..., -1] if t.shape[-1] else np.zeros(t.shape[:-1])
+    if name == "l2":
+        return lambda a, b: np.sqrt(total((a - b) * (a - b)))
+    if name == "cos":
+        return lambda a, b: 1 - total(a * b) / np.sqrt(total(a * a) * total(b * b))
+    power = {"l1": 1.0, "l05": 0.5}.get(name, 1.0 if p is None else p)
+    return lambda a, b: total(np.abs(a - b) if power == 1 else np.abs(a - b) ** power)
+
+
 def reach(name: str, bound: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """How far block distances may be rounded up from real ones of at most ``bound``, one for each row of a."""
     eps = 16 * (a.shape[1] + 8) * 2.0**-52

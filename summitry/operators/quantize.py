@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distances
 from ..plans.cut import cut
+from . import knn
 from .blocks import dense, grid
 
 #: Codes that travel together as one array.
@@ -234,19 +235,120 @@ def sort_codebook(codebook: DataFrame, mode: str) -> DataFrame:
     return codebook.withColumn("place", F.row_number().over(Window.orderBy(orders[mode], "code"))).select("place", "code", "vector", "freq")
 
 
-#: Parts into which the members of a cluster are dealt for a search.
-PARTS = 16
+#: Numbers in a block of a cluster's members (16 MB), and distances that a task holds at a time.
+BLOCK_NUMBERS = 1 << 21
+#: Pairs that are measured again at a time.
+PAIRS = 1 << 14
+
+
+def _nearest_rows(x: np.ndarray, y: np.ndarray, own: np.ndarray, other: np.ndarray, distance: str):
+    """(row of x, row of y, order, distance) of the nearest row of y with another number, ties to the first.
+
+    Order is 0 for numbers, 1 for NaN and 2 for null, which come in this order.
+    """
+    kernel = distances.block_kernel(distance)
+    exact = distances.ordered_kernel(distance) if kernel else None
+    kernel = kernel or distances.values_kernel(distance)
+    u, v, odd_x, odd_y = x, y, np.zeros(len(x), bool), np.zeros(len(y), bool)
+    if exact:
+        odd_x, odd_y = ~np.isfinite(x).all(1), ~np.isfinite(y).all(1)
+        u, v = np.where(odd_x[:, None], 0, x), np.where(odd_y[:, None], 0, y)
+        if distance == "l2":  # smaller norms round less
+            centre = v.mean(0)
+            u, v = u - centre, v - centre
+    step = max(1, BLOCK_NUMBERS // len(y))
+    for at in range(0, len(x), step):
+        some = slice(at, at + step)
+        same = own[some, None] == other[None]
+        rough = np.asarray(kernel(u[some], v), float)
+        least = np.where(same | odd_y, np.inf, rough)
+        least = np.fmin.reduce(least, axis=1)
+        # rows that aren't finite are inf or NaN away, and matter where nothing nearer is
+        far = ~np.isfinite(least) | odd_x[some]
+        if exact:  # whatever rounding may hide is measured again, ties included
+            least = distances.reach(distance, distances.reach(distance, least, u[some], v), u[some], v)
+        i, j = np.nonzero((~(rough > least[:, None]) & ~odd_y | far[:, None]) & ~same)
+        if exact:
+            real = np.concatenate([np.empty(0), *(exact(x[i[p : p + PAIRS] + at], y[j[p : p + PAIRS]]) for p in range(0, len(i), PAIRS))])
+        else:
+            real = rough[i, j]
+        order = np.isnan(real).astype(int)
+        if distance == "cos":  # of a zero vector
+            order[(order > 0) & ~(odd_x[i + at] | odd_y[j])] = 2
+        first = np.lexsort((j, np.where(order > 0, 0, real), order, i))
+        first = first[np.unique(i[first], return_index=True)[1]]
+        yield i[first] + at, j[first], order[first], real[first]
 
 
 def nearest_in_cluster(data: DataFrame, partition: DataFrame, ids: DataFrame, distance: str = "l2") -> DataFrame:
-    """(id, nearest, dist): of each wanted point, the nearest other member of its cluster."""
-    d = distances.get(distance)
-    members = data.join(partition, "id")
-    left = members.join(ids.select("id"), "id", "left_semi").select(F.col("id").alias("i"), "cluster", F.col("vector").alias("vi"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
-    right = members.select("cluster", F.col("id").alias("j"), F.col("vector").alias("vj"), F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int").alias("part"))
-    pairs = left.join(right, ["cluster", "part"]).where("i <> j")
-    best = pairs.groupBy("i").agg(F.min(F.struct(d(F.col("vi"), F.col("vj")).alias("dist"), "j")).alias("b"))
-    return best.select(F.col("i").alias("id"), F.col("b.j").alias("nearest"), F.col("b.dist").alias("dist"))
+    """(id, nearest, dist): of each wanted point, the nearest other member of its cluster, ties to the smaller id.
+
+    Points meet in cells, which hold some whole clusters or two blocks of a large one.  A
+    cell gives one row for each point that asks, and no pair is a row.  Null distances come
+    last; vectors with null components, or of another size, are at a null distance.
+    """
+    distances.get(distance)
+    schema = data.schema
+    whole = schema["vector"].dataType.simpleString() in {f"array<{t}>" for t in ("float", "double", "int", "bigint")}
+    if whole:  # numbers that are floats travel as such
+        vector = F.when(F.forall("vector", lambda x: x.isNotNull()), F.col("vector").cast("array<double>"))
+        short = vector.cast("array<float>")
+        is_short = short.cast("array<double>").eqNullSafe(vector)
+        values = data.select("id", F.when(is_short, short).alias("short"), F.when(~is_short, vector).alias("vector"))
+        shape = data.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width")).first()
+    else:
+        values = data.select("id", F.lit(None).cast("boolean").alias("short"), "vector")
+        shape = data.agg(F.count("*").alias("n"), F.lit(64).alias("width")).first()
+    rows = max(1, BLOCK_NUMBERS // max(1, shape["width"] or 1))
+    asking = ids.select("id").distinct().withColumn("asks", F.lit(True))
+    members = values.join(partition.select("id", "cluster").where("cluster is not null"), "id").join(asking, "id", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    blocks = lambda n: F.ceil(n / rows).cast("int")
+    large = members.groupBy("cluster").agg(F.count("*").alias("n"), F.count_if("asks").alias("w")).where(F.col("n") > rows)
+    large = large.select("cluster", F.col("cluster").alias("own"), blocks(F.col("w")).alias("across"), blocks(F.col("n")).alias("down"))
+    # clusters of more than a block: n / rows rows at most
+    met = members.join(F.broadcast(large), "cluster", "left").where("across is null or across > 0")
+    across, down = F.coalesce("across", F.lit(1)), F.coalesce("down", F.lit(1))
+    i, j = F.pmod(F.xxhash64("id"), F.greatest(across, F.lit(1))).cast("int"), F.pmod(F.xxhash64("id"), down).cast("int")
+    offers = F.transform(F.sequence(F.lit(0), F.greatest(across, F.lit(1)) - 1), lambda c: F.struct(c.alias("i"), j.alias("j"), (F.col("asks") & (c == i)).alias("asks"), F.lit(True).alias("offers")))
+    other = F.filter(F.sequence(F.lit(0), down - 1), lambda c: F.col("asks") & (c != j))
+    asked = F.transform(other, lambda c: F.struct(i.alias("i"), c.alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("offers")))
+    bucket = F.when(F.col("own").isNull(), F.pmod(F.xxhash64("cluster"), F.lit(max(64, -(-shape["n"] // rows)))))
+    placed = met.select("id", "cluster", "own", bucket.alias("bucket"), "short", "vector", F.explode(F.concat(offers, asked)).alias("c")).select("id", "cluster", "own", "bucket", "short", "vector", "c.*")
+
+    def cell(part: pd.DataFrame) -> pd.DataFrame:
+        number, group = pd.factorize(part["id"], sort=True)[0], pd.factorize(part["cluster"])[0]
+        value = np.empty(len(part), object)
+        for k, (s, v) in enumerate(zip(part["short"], part["vector"])):
+            value[k] = v if s is None else s
+        size = np.array([-1 if v is None else len(v) if whole else 0 for v in value])
+        asks, has = part["asks"].to_numpy(bool), part["offers"].to_numpy(bool)
+        point, nearest, order, dist = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0, int)], [np.empty(0)]
+        by = np.lexsort((number, group))
+        for at in np.split(by, np.flatnonzero(np.diff(group[by])) + 1):
+            a, b = at[asks[at]], at[has[at]]
+            if not len(a) or not len(b):
+                continue
+            rest = b[number[b] != number[b[0]]]
+            found, kind, real = np.where(number[a] != number[b[0]], b[0], rest[0] if len(rest) else -1), np.full(len(a), 2), np.full(len(a), np.nan)
+            for s in np.unique(size[a]):
+                left, right = np.flatnonzero(size[a] == s), b[size[b] == s]
+                if s < 0 or not len(right):
+                    continue
+                x, y = (dense(value[p]) if whole else knn._values(value[p]) for p in (a[left], right))
+                for k, l, o, d in _nearest_rows(x, y, number[a[left]], number[right], distance):
+                    real[left[k]], kind[left[k]] = d, o
+                    found[left[k][o < 2]] = right[l[o < 2]]
+            ok = found >= 0
+            for out, some in zip((point, nearest, order, dist), (a, found, kind, real)):
+                out.append(some[ok])
+        name, point, nearest = part["id"].to_numpy(), np.concatenate(point), np.concatenate(nearest)
+        return pd.DataFrame({"id": name[point], "kind": np.concatenate(order), "dist": np.concatenate(dist), "nearest": name[nearest]})
+
+    name = schema["id"].dataType.simpleString()
+    found = placed.groupBy("own", "bucket", "i", "j").applyInPandas(cell, f"id {name}, kind int, dist double, nearest {name}")
+    best = found.groupBy("id").agg(F.min(F.struct("kind", "dist", "nearest")).alias("b"))
+    dist = F.when(F.col("b.kind") == 0, F.col("b.dist")).when(F.col("b.kind") == 1, F.lit(float("nan")))
+    return best.select("id", F.col("b.nearest").alias("nearest"), dist.alias("dist"))
 
 
 def single_link(data: DataFrame, partition: DataFrame) -> DataFrame:

@@ -229,3 +229,50 @@ def test_labels_of_a_stream(spark, tmp_path):
         query.stop()
     got = {r.id: r.code for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert len(got) == 80 and all(got[i] == got[i % 2] for i in got) and got[0] != got[1]
+
+
+def most_rows(df):
+    """The most rows that any step of a plan made, after it ran."""
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        made = node.metrics().get("numOutputRows")
+        most = max(most, made.get().value() if made.isDefined() else 0)
+        if "AdaptiveSparkPlan" in node.getClass().getName():
+            todo.append(node.executedPlan())
+        elif "QueryStage" in node.getClass().getName():
+            todo.append(node.plan())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
+def test_nearest_members_make_no_pairs(spark, monkeypatch):
+    """One cluster beside small ones, some points alone, copies, ties; by every kind of distance, in cells of any size."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in rng.integers(0, 4, 3)], 1 if i % 3 else i // 40) for i in range(400)] + [(400, [1.0, 2.0, 0.1], 77)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, cluster int")
+    data, part = df.select("id", "vector"), df.select("id", "cluster")
+    for name in ("l2", "l1", "cos", "l2sq", "bjaccard", "entropy"):
+        d = distances.get(name)
+        pairs = df.toDF("i", "a", "cluster").join(df.toDF("j", "b", "cluster"), "cluster").where("i <> j").select("i", "j", d(F.col("a"), F.col("b")).alias("d"))
+        best = pairs.groupBy("i").agg(F.min(F.struct(F.col("d").isNull().alias("n"), "d", "j")).alias("m"))
+        want = {(r.i, r.m.j, None if r.m.d is None else round(r.m.d, 9)) for r in best.collect()}
+        for numbers in (1 << 21, 90):
+            monkeypatch.setattr(quantize, "BLOCK_NUMBERS", numbers)
+            got = quantize.nearest_in_cluster(data, part, data, name)
+            assert {(r.id, r.nearest, None if r.dist is None else round(r.dist, 9)) for r in got.collect()} == want, (name, numbers)
+    few = quantize.nearest_in_cluster(data, part, data.where("id in (4, 9)"))
+    assert {r.id for r in few.collect()} == {4, 9}
+    monkeypatch.setattr(quantize, "BLOCK_NUMBERS", 1 << 21)
+    assert most_rows(quantize.nearest_in_cluster(data, part, data)) <= 2 * len(rows)
+
+
+def test_nearest_members_of_odd_vectors(spark):
+    """Null distances come last and NaN before them, as in SQL; a lone member has no row."""
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, None, 1), (2, [0.0, 0.0], 1), (3, [3.0, 4.0], 1), (4, [nan, 0.0], 1), (5, [None, 1.0], 1), (6, [inf, 0.0], 1), (7, None, 2), (8, [1.0, 1.0], 2), (9, [1.0, 1.0], 3), (10, [1.0, 1.0], None)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, cluster int")
+    got = {r.id: (r.nearest, r.dist) for r in quantize.nearest_in_cluster(df.select("id", "vector"), df.select("id", "cluster"), df).collect()}
+    assert got[4][0] == 2 and got.pop(4)[1] != 0
+    assert got == {1: (2, None), 2: (3, 5.0), 3: (2, 5.0), 5: (1, None), 6: (2, inf), 7: (8, None), 8: (7, None)}

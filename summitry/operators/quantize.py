@@ -25,23 +25,24 @@ BROADCAST_NUMBERS = 8 << 20
 
 
 def nearest_code(data: DataFrame, codebook: DataFrame, distance: str = "l2sq") -> DataFrame:
-    """(id, code, error): the nearest code vector by any distance, ties to the smaller code.
+    """(id, code, error): the nearest code vector by any distance, ties to the smaller code, null distances last.
 
-    The least of each array of codes is taken in a projection, and the least of those
-    is combined map-side.
+    Of equal code vectors only the smallest code can be the nearest, so each different
+    vector is measured once.  The least of each array of codes is taken in a projection,
+    and the least of those is combined map-side.
     """
     d = distances.get(distance)
+    codebook = codebook.groupBy("vector").agg(F.min("code").alias("code"))
     shape = codebook.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("numbers")).first()
     books = max(1, -(-shape["n"] // BOOK))
     shelf = codebook.groupBy(F.pmod(F.xxhash64("code"), F.lit(books)).alias("j")).agg(F.collect_list(F.struct("code", F.col("vector").alias("v"))).alias("book"))
-    best = F.array_min(F.transform("book", lambda c: F.struct(d(F.col("vector"), c["v"]).alias("error"), c["code"].alias("code"))))
+    errors = F.transform("book", lambda c: F.struct(d(F.col("vector"), c["v"]).alias("error"), c["code"].alias("code")))
+    best = F.array_min(F.transform(errors, lambda e: F.struct(e["error"].isNull().alias("none"), e["error"].alias("error"), e["code"].alias("code"))))
     if shape["numbers"] <= BROADCAST_NUMBERS:
         met = data.select("id", "vector").crossJoin(F.broadcast(shelf))  # ``books`` rows for each one
     else:
         met = data.select("id", "vector", F.explode(F.sequence(F.lit(0), F.lit(books - 1))).alias("j")).join(shelf, "j")
-    found = met.select("id", best.alias("b"))
-    if books > 1:
-        found = found.groupBy("id").agg(F.min("b").alias("b"))
+    found = met.select("id", best.alias("b")).groupBy("id").agg(F.min("b").alias("b"))
     return found.select("id", "b.code", "b.error")
 
 

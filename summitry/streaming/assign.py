@@ -1,7 +1,8 @@
 """Labels for points that arrive after a model was fitted.
 
 A new point takes the label of its nearest cluster centroid; the codebook of
-centroids has a row for each cluster, so the stream needs no state and no shuffle.
+centroids has a row for each cluster, so the stream needs no state, and only ids and
+labels of a batch are shuffled.
 """
 
 from __future__ import annotations

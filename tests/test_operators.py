@@ -276,3 +276,17 @@ def test_nearest_members_of_odd_vectors(spark):
     got = {r.id: (r.nearest, r.dist) for r in quantize.nearest_in_cluster(df.select("id", "vector"), df.select("id", "cluster"), df).collect()}
     assert got[4][0] == 2 and got.pop(4)[1] != 0
     assert got == {1: (2, None), 2: (3, 5.0), 3: (2, 5.0), 5: (1, None), 6: (2, inf), 7: (8, None), 8: (7, None)}
+
+
+def test_equal_codes_are_measured_once(spark, monkeypatch):
+    """The smallest of equal codes is found; codes at a null distance come last; one row for each id."""
+    rows = [(c, [float(c % 20), 1.0]) for c in range(3000)] + [(-5, [None, 1.0]), (-6, None)]
+    book = spark.createDataFrame(rows, "code long, vector array<double>")
+    data = spark.createDataFrame([(i, [i % 23 + 0.25, 2.0]) for i in range(200)] + [(7, [3.0, 1.0]), (300, None)], "id long, vector array<double>")
+    monkeypatch.setattr(quantize, "BOOK", 4)
+    found = quantize.nearest_code(data, book, "l1")
+    got = {r.id: (r.code, r.error) for r in found.collect()}
+    assert found.count() == len(got) == 201
+    assert all(got[i] == (min(i % 23, 19), abs(i % 23 + 0.25 - min(i % 23, 19)) + 1) for i in range(200) if i != 7)
+    assert got[7] == (3, 0.0) and got[300] == (-6, None)
+    assert most_rows(found) <= len(rows)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distances
-from ..plans.cut import cut
+from ..plans.cut import cut, drop
 from .blocks import dense, grid
 
 EDGES = "src long, dst long, dist double"
@@ -159,6 +159,10 @@ GROUP = 20_000
 LEAST_SAMPLE, MOST_SAMPLE = 20_000, 400_000
 #: Divisions of one round.
 TREES = 3
+#: Points of a leaf where distances are a product of matrices, which is cheap for whole leaves.
+LEAF = 1000
+#: Points whose neighbours are searched among all, and the share of them that a settled graph must hold.
+ASKED, SETTLED = 512, 0.93
 
 
 def _values(column) -> np.ndarray:
@@ -268,45 +272,94 @@ def divide(pts: DataFrame, k: int, leaf: int, seed: int, distance: str | Callabl
     return dealt.select("tree", "leaf", "salt", "id", "value").groupBy("tree", "leaf", "salt").applyInPandas(compare, EDGES)
 
 
-def join_neighbours(graph: DataFrame, pts: DataFrame, k: int, distance: str | Callable, p: float | None) -> DataFrame:
+#: Hubs of a task in a descent round, numbers of their members' values (256 MB), and edges that it gathers before it keeps the nearest.
+HUBS, HUB_NUMBERS, GATHERED = 4096, 1 << 25, 1 << 21
+
+
+def _nearest_found(found: list, k: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest different edges of each source; sources and targets are places below n."""
+    src, dst, dist = (np.concatenate(x) for x in zip(*found))
+    once = np.unique(src * n + dst, return_index=True)[1]
+    order = once[np.lexsort((dst[once], dist[once], src[once]))]
+    src = src[order]
+    starts = np.flatnonzero(np.concatenate(([True], src[1:] != src[:-1])))
+    rank = np.arange(len(src)) - np.repeat(starts, np.diff(np.append(starts, len(src))))
+    return src[rank < k], dst[order][rank < k], dist[order][rank < k]
+
+
+def join_neighbours(graph: DataFrame, pts: DataFrame, k: int, distance: str | Callable, p: float | None, n: int) -> DataFrame:
     """Edges that a descent round finds: points that meet at a hub, one of them new.
 
     At a hub meet its neighbours and the k nearest points that have it as a neighbour,
-    so a hub holds 2 * k points at most.  Only edges that are shorter than the longest
-    one of their source leave the hub.
+    so a hub holds 2 * k points at most.  Some thousand hubs share a task, to which each
+    of their members is sent once, and which gives k edges of a source at most: those
+    that are shorter than the longest one that the source has.
     """
     kernel = distances.values_kernel(distance, p)
     back = graph.select(F.col("dst").alias("hub"), F.col("src").alias("id"), "dist", "is_new")
     back = back.withColumn("r", F.row_number().over(Window.partitionBy("hub").orderBy("dist", "id"))).where(F.col("r") <= k)
     ways = graph.select(F.col("src").alias("hub"), F.col("dst").alias("id"), "is_new").unionByName(back.select("hub", "id", "is_new"))
-    ways = ways.groupBy("hub", "id").agg(F.max("is_new").alias("is_new"))
+    width = (pts.agg(F.max(F.size("value"))).first()[0] or 1) if _is_vector(pts) else 16
+    tasks = -(-n // min(HUBS, max(1, HUB_NUMBERS // (2 * k * max(1, width)))))
+    ways = ways.groupBy("hub", "id").agg(F.max("is_new").alias("is_new")).withColumn("task", F.pmod(F.xxhash64("hub"), F.lit(tasks)))
     reach = graph.groupBy(F.col("src").alias("id")).agg(F.when(F.count("*") >= k, F.max("dist")).otherwise(F.lit(float("inf"))).alias("reach"))
-    meeting = ways.join(pts.join(reach, "id", "left").select("id", "value", F.coalesce("reach", F.lit(float("inf"))).alias("reach")), "id")
+    members = ways.select("task", "id").distinct().join(pts.join(reach, "id", "left").select("id", "value", F.coalesce("reach", F.lit(float("inf"))).alias("reach")), "id")
+    members = members.select(F.col("task").alias("at"), F.col("id").alias("point"), "value", "reach")
+
+    def compare(met: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        known = known.sort_values("point")
+        ids, x, reach = known["point"].to_numpy(), _values(known["value"]), known["reach"].to_numpy()
+        hub = met["hub"].to_numpy()
+        order = np.lexsort((met["id"].to_numpy(), hub))
+        hub, place, fresh = hub[order], np.searchsorted(ids, met["id"].to_numpy()[order]), met["is_new"].to_numpy(bool)[order]
+        starts = np.flatnonzero(np.concatenate(([True], hub[1:] != hub[:-1])))
+        found, held = [(np.empty(0, int), np.empty(0, int), np.empty(0))], 0
+        for s, e in zip(starts, np.append(starts[1:], len(hub))):
+            new = fresh[s:e]
+            if e - s < 2 or not new.any():
+                continue
+            at = place[s:e]
+            d = np.asarray(kernel(x[at], x[at]), float)
+            i, j = np.nonzero((new[:, None] | new[None]) & (d < reach[at][:, None]) & (at[:, None] != at[None]))
+            found.append((at[i], at[j], d[i, j]))
+            held += len(i)
+            if held > GATHERED:
+                found = [_nearest_found(found, k, len(ids))]
+                held = 0
+        src, dst, dist = _nearest_found(found, k, len(ids)) if len(ids) else found[0]
+        return pd.DataFrame({"src": ids[src], "dst": ids[dst], "dist": dist})
+
+    return ways.groupBy("task").cogroup(members.groupBy("at")).applyInPandas(compare, EDGES)
+
+
+def _sampled_reach(pts: DataFrame, k: int, distance: str | Callable, p: float | None, seed: int) -> list[tuple]:
+    """(src, reach, wanted) of ASKED points: the distance within which their k nearest lie, and how many those are."""
+    kernel = distances.values_kernel(distance, p)
+    asked = pts.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(ASKED).collect()
+    ids, x = np.array([r.id for r in asked]), _values([r.value for r in asked])
 
-    def compare(batches):
-        held = None
+    def near(batches):
         for b in batches:
-            b = b if held is None else pd.concat((held, b), ignore_index=True)
-            last = b.hub.iloc[-1] if len(b) else None
-            held = b[b.hub == last]  # its other rows may come in the next batch
-            yield from edges(b[b.hub != last])
-        if held is not None and len(held):
-            yield from edges(held)
-
-    def edges(b: pd.DataFrame):
-        if not len(b):
-            return
-        starts = np.flatnonzero(np.concatenate(([True], b.hub.to_numpy()[1:] != b.hub.to_numpy()[:-1])))
-        x, ids, fresh, reach = _values(b.value), b.id.to_numpy(), b.is_new.to_numpy(bool), b.reach.to_numpy()
-        found = []
-        for s, e in zip(starts, np.append(starts[1:], len(b))):
-            d = np.asarray(kernel(x[s:e], x[s:e]), float)
-            ok = (fresh[s:e, None] | fresh[None, s:e]) & (d < reach[s:e, None]) & (ids[s:e, None] != ids[None, s:e])
-            i, j = np.nonzero(ok)
-            found.append((ids[s:e][i], ids[s:e][j], d[i, j]))
-        yield pd.DataFrame(dict(zip(("src", "dst", "dist"), map(np.concatenate, zip(*found)))))
-
-    return meeting.select("hub", "id", "is_new", "reach", "value").repartition("hub").sortWithinPartitions("hub").mapInPandas(compare, EDGES)
+            if len(b):
+                d = np.asarray(kernel(x, _values(b.value)), float)
+                d[(ids[:, None] == b.id.to_numpy()[None]) | np.isnan(d)] = np.inf
+                d = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]
+                yield pd.DataFrame({"src": np.repeat(ids, d.shape[1]), "dist": d.ravel()})
+
+    nearest = F.slice(F.array_sort(F.collect_list("dist")), 1, k)  # of k distances a batch
+    found = pts.mapInPandas(near, "src long, dist double").where(F.col("dist") < float("inf")).groupBy("src").agg(nearest.alias("d"))
+    rows = [(r.src, r.d[-1], len(r.d)) for r in found.collect()]  # ASKED at most
+    slack = 1e-7 * max((r[1] for r in rows), default=0)  # kernels round differently in blocks of other sizes
+    return [(src, d + 1e-6 * abs(d) + slack, wanted) for src, d, wanted in rows]
+
+
+def _sampled_recall(graph: DataFrame, reach: list[tuple]) -> float:
+    """The share of the asked points' nearest neighbours that a graph holds; equal distances are as good."""
+    if not reach:
+        return 1.0
+    asked = graph.sparkSession.createDataFrame(reach, "src long, reach double, wanted long")
+    hits = graph.join(F.broadcast(asked), "src").where("dist <= reach").groupBy("src", "wanted").agg(F.count("*").alias("c"))
+    return (hits.agg(F.sum(F.least("c", "wanted"))).first()[0] or 0) / sum(r[2] for r in reach)
 
 
 def _updates(graph: DataFrame, before: DataFrame | None) -> int:
@@ -316,36 +369,59 @@ def _updates(graph: DataFrame, before: DataFrame | None) -> int:
 def approximate(df: DataFrame, k: int, distance: str | Callable = "l2", id_col: str = "id", value_col: str = "value", p: float | None = None, leaf_size: int | None = None, max_iter: int = 100, tol: float = 0.01, nnd_start: float = 0.1, method: str = "rpdiv", seed: int = 1, width: int | None = None) -> DataFrame:
     """Rounds of division, joined by descent, until they settle.
 
-    The graph is built with ``width`` neighbours, 3 * k unless given, of which the k
-    nearest are returned, measured once more.  A round of division compares the leaves
-    of some trees.  From the second round on descent follows, and division ends once
-    descent brings less than ``nnd_start`` of n * width new edges; ``nnd_start=0``
-    leaves descent out.  All ends once fewer than ``tol`` are new.  Method nndescent
-    starts from a random graph and has no division.
+    The graph is built with ``width`` neighbours, of which the k nearest are returned,
+    measured once more.  A round of division compares the leaves of some trees.  From the
+    second round on descent follows, and division ends once descent brings less than
+    ``nnd_start`` of n * width new edges; ``nnd_start=0`` leaves descent out.  Method
+    nndescent starts from a random graph and has no division.
+
+    Rounds settle once fewer than ``tol`` edges are new.  Unless ``width`` is given it
+    begins with 3 * k, and a graph that holds, or will hold once it settles, less than
+    SETTLED of the nearest neighbours of some points, which are searched among all, goes
+    on half as wide again: the larger a table of many dimensions, the more neighbours
+    lead to the nearest ones.
     """
-    pts = cut(points(df, id_col, value_col))
+    whole = pts = cut(points(df, id_col, value_col))
+    if pts.schema["value"].dataType.simpleString() == "array<double>":
+        short = F.col("value").cast("array<float>")
+        if pts.agg(F.bool_and(short.cast("array<double>").eqNullSafe(F.col("value")))).first()[0]:
+            pts = pts.select("id", short.alias("value"))  # the same numbers in half the space
     n = max(1, pts.count())
     w = max(k, width or 3 * k)
-    leaf = max(20, leaf_size or int(2.5 * w))
+    least = LEAF if distance in ("l2", "cos") and _is_vector(pts) else 20
+    leaf_of = lambda w: max(20, leaf_size) if leaf_size else max(least, int(2.5 * w))
     dividing = method != "nndescent"
+    widened, reach = False, None
     graph: DataFrame | None = None if dividing else cut(merge(None, random_graph(pts, w, seed, distance, p), w))
     for round_ in range(max_iter):
         moved = 0.0
         if dividing:
-            found = divide(pts, w, leaf, seed + 7 * round_, distance, p, n, TREES)
+            found = divide(pts, w, leaf_of(w), seed + 7 * round_, distance, p, n, TREES)
             new = cut(merge(graph, found, w))
             moved += _updates(new, graph) / (n * w)
+            drop(graph)
             graph = new
         if not dividing or (nnd_start > 0 and round_):
-            new = cut(merge(graph, join_neighbours(graph, pts, w, distance, p), w))
+            # after it has got wider, any two neighbours may meet again
+            known, widened = graph.withColumn("is_new", F.lit(True)) if widened else graph, False
+            new = cut(merge(graph, join_neighbours(known, pts, w, distance, p, n), w))
             moved = _updates(new, graph) / (n * w)
+            drop(graph)
             graph = new
             # trees bring little once neighbours of neighbours are known
             dividing = dividing and moved > nnd_start
-        if moved < tol:
-            break
+        if width or w >= n - 1:
+            if moved < tol:
+                break
+        elif moved < max(tol, 0 if round_ == 0 else nnd_start):
+            reach = _sampled_reach(pts, k, distance, p, seed) if reach is None else reach
+            held = _sampled_recall(graph, reach)
+            if moved < tol and held >= SETTLED:
+                break
+            if held + (0 if moved < tol else moved) < SETTLED:
+                w, widened, dividing = min(n - 1, w + w // 2 + 1), True, method != "nndescent"
     best = top_k(graph.select("src", "dst", "dist"), k)
-    return top_k(with_distance(best.select("src", "dst"), pts, distance, p), k)
+    return top_k(with_distance(best.select("src", "dst"), whole, distance, p), k)
 
 
 def build(df: DataFrame, k: int, method: str = "rpdiv", **options) -> DataFrame:

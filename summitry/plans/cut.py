@@ -41,4 +41,12 @@ def cut(df: DataFrame) -> DataFrame:
         atexit.register(_delete, *base)
     path = f"{base[1]}/{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._cut = path
+    return kept
+
+
+def drop(kept: DataFrame | None) -> None:
+    """Deletes the table of a cut that nothing reads any more."""
+    if getattr(kept, "_cut", None):
+        _delete(kept.sparkSession, kept._cut)

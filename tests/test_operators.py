@@ -290,3 +290,11 @@ def test_equal_codes_are_measured_once(spark, monkeypatch):
     assert all(got[i] == (min(i % 23, 19), abs(i % 23 + 0.25 - min(i % 23, 19)) + 1) for i in range(200) if i != 7)
     assert got[7] == (3, 0.0) and got[300] == (-6, None)
     assert most_rows(found) <= len(rows)
+
+
+def test_recall_where_neighbours_lead_nowhere(spark):
+    """Independent components: a graph of 3 * k neighbours settles with too few true ones, and goes on wider."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(4000, 64)).tolist())], "id long, value array<double>")
+    truth = cut(knn.brute(df, 10))
+    assert knn.recall(knn.build(df, 10, "rpdiv"), truth, 10).first().recall >= 0.9

@@ -272,14 +272,14 @@ def divide(pts: DataFrame, k: int, leaf: int, seed: int, distance: str | Callabl
     return dealt.select("tree", "leaf", "salt", "id", "value").groupBy("tree", "leaf", "salt").applyInPandas(compare, EDGES)
 
 
-#: Hubs of a task in a descent round, numbers of their members' values (256 MB), and edges that it gathers before it keeps the nearest.
-HUBS, HUB_NUMBERS, GATHERED = 4096, 1 << 25, 1 << 21
+#: Hubs of a task in a descent round, numbers of their members' values (128 MB), and edges that it gathers before it keeps the nearest.
+HUBS, HUB_NUMBERS, GATHERED = 2048, 1 << 24, 1 << 20
 
 
 def _nearest_found(found: list, k: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k nearest different edges of each source; sources and targets are places below n."""
     src, dst, dist = (np.concatenate(x) for x in zip(*found))
-    once = np.unique(src * n + dst, return_index=True)[1]
+    once = np.unique(src.astype(np.int64) * n + dst, return_index=True)[1]
     order = once[np.lexsort((dst[once], dist[once], src[once]))]
     src = src[order]
     starts = np.flatnonzero(np.concatenate(([True], src[1:] != src[:-1])))
@@ -311,9 +311,9 @@ def join_neighbours(graph: DataFrame, pts: DataFrame, k: int, distance: str | Ca
         ids, x, reach = known["point"].to_numpy(), _values(known["value"]), known["reach"].to_numpy()
         hub = met["hub"].to_numpy()
         order = np.lexsort((met["id"].to_numpy(), hub))
-        hub, place, fresh = hub[order], np.searchsorted(ids, met["id"].to_numpy()[order]), met["is_new"].to_numpy(bool)[order]
+        hub, place, fresh = hub[order], np.searchsorted(ids, met["id"].to_numpy()[order]).astype(np.int32), met["is_new"].to_numpy(bool)[order]
         starts = np.flatnonzero(np.concatenate(([True], hub[1:] != hub[:-1])))
-        found, held = [(np.empty(0, int), np.empty(0, int), np.empty(0))], 0
+        found, held = [(np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0))], 0
         for s, e in zip(starts, np.append(starts[1:], len(hub))):
             new = fresh[s:e]
             if e - s < 2 or not new.any():
@@ -323,7 +323,7 @@ def join_neighbours(graph: DataFrame, pts: DataFrame, k: int, distance: str | Ca
             i, j = np.nonzero((new[:, None] | new[None]) & (d < reach[at][:, None]) & (at[:, None] != at[None]))
             found.append((at[i], at[j], d[i, j]))
             held += len(i)
-            if held > GATHERED:
+            if held > max(GATHERED, len(found[0][0])):
                 found = [_nearest_found(found, k, len(ids))]
                 held = 0
         src, dst, dist = _nearest_found(found, k, len(ids)) if len(ids) else found[0]

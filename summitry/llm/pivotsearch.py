@@ -1,16 +1,19 @@
 """Exact top-k inner products by pivot-table elimination.
 
-Vectors become integers, floor(scale * x).  The distance of every vector to each of
-many pivots is computed once and stored beside it; by the triangle inequality
-``max_p |d(q, p) - d(x, p)|`` bounds d(q, x) from below, hence the inner product
-``(|q|^2 + |x|^2 - d^2) / 2`` from above.  Candidates are evaluated in the order of
-that bound until the next bound is under a query's k-th score, which is exact:
-whatever is left out scores less.
+Vectors become integers, floor(scale * x).  Distances of a row to the origin and to
+pivots fix its place in the space that these span and its distance from that space:
+it is the apex of a simplex over them.  The apex ``(y, r)`` of every vector is
+computed once and stored beside it; as the parts outside that space have an inner
+product of ``r_q * r_x`` at most, ``y_q . y_x + r_q * r_x`` bounds the product of two
+vectors from above.  There are fewer pivots than dimensions, so the bounds of all
+candidates cost less than their products.  Candidates of a query are evaluated in
+the order of that bound until the next bound is under the query's k-th score, which
+is exact: whatever is left out scores less.
 
 The stated queries meet all rows in blocks: queries are cut into blocks of
 ``QUERY_BLOCK`` rows, candidates into blocks of ``CANDIDATE_BLOCK``; every cell of
-that grid is one group of bounded size and keeps k rows a query.  Within a cell,
-queries near the same pivots walk together, each until its own stop.
+that grid is one group of bounded size and keeps k rows a query.  Within a cell each
+query walks alone, until its own stop.
 
 Edge cases: vectors that are null, empty or hold null or non-finite components
 take no part; vectors of unlike length are compared over the shorter one padded
@@ -24,7 +27,6 @@ columns play no part.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,12 +34,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-N_PIVOTS = 64
+#: Pivots at most, and as a share of the dimensions.
+N_PIVOTS, PIVOT_SHARE = 64, 0.875
 #: Rows from which pivots are chosen.
 PIVOT_SAMPLE = 2000
 QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 8192
-#: Candidates of a step, and queries that walk together.
+#: Candidates of a step of a walk, and queries whose bounds are held at once.
 STEP = 512
 QUERIES_AT_ONCE = 64
 
@@ -57,110 +60,123 @@ def matrix(rows, width: int) -> np.ndarray:
 
 
 def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
-    """Far-apart pivots: each next one is farthest from those before."""
-    if not len(sample):
-        return sample
-    chosen = [0]
-    near = ((sample - sample[0]) ** 2).sum(1)
-    while len(chosen) < min(n, len(sample)) and near.max() > 0:
-        chosen.append(int(near.argmax()))
-        near = np.minimum(near, ((sample - sample[chosen[-1]]) ** 2).sum(1))
+    """Far-apart pivots: each next one is farthest from the space that those before span."""
+    chosen, left = [], np.array(sample, float)
+    most = float(np.abs(left).max(initial=0))
+    left /= most or 1
+    for _ in range(min(n, *left.shape)):
+        far = (left**2).sum(1)
+        if far.max(initial=0) < 1e-12:
+            break
+        chosen.append(int(far.argmax()))
+        axis = left[chosen[-1]] / np.sqrt(far.max())
+        left -= (left @ axis)[:, None] * axis
     return sample[chosen]
 
 
-def pivot_table(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Distances of each row to each pivot."""
-    squares = (x**2).sum(1)[:, None] + (pivots**2).sum(1)[None] - 2 * x @ pivots.T
-    return np.sqrt(np.maximum(squares, 0))
-
-
-def upper_bounds(table_q: np.ndarray, table_x: np.ndarray, norm_q: np.ndarray, norm_x: np.ndarray) -> np.ndarray:
-    """Bounds on all inner products, a little loose so that rounding can't lower them."""
-    low = np.zeros((len(table_q), len(table_x)), np.float32)
-    gap = np.empty_like(low)
-    for p in range(table_q.shape[1]):
-        np.subtract(table_q[:, p, None], table_x[None, :, p], out=gap)
-        np.abs(gap, out=gap)
-        np.maximum(low, gap, out=low)
-    # distances are stored in 24 bits, so the gap may be this much too wide
-    low -= np.float32(2.0**-21) * (table_q.max(initial=0) + table_x.max(initial=0))
-    np.maximum(low, 0, out=low)
-    slack = 1e-5 * (norm_q.max(initial=0) + norm_x.max(initial=0)) + 1e-3
-    return 0.5 * (norm_q.astype(np.float32)[:, None] + norm_x.astype(np.float32)[None] - low * low) + np.float32(slack)
-
-
-def exact_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Whole-number inner products (queries, rows): the narrowest floats that hold them exactly, else integers."""
-    most = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[-1]
-    if most < 2**53:
-        kind = np.float32 if most < 2**24 else np.float64
-        return (q.astype(kind, copy=False) @ x.astype(kind, copy=False).T).astype(np.float64, copy=False)
-    whole = [[int(v) for v in row] for row in x]
-    out = np.empty((len(q), len(x)), dtype=object)
-    for i, row in enumerate(q):
-        left = [int(v) for v in row]
-        out[i] = [sum(a * b for a, b in zip(left, right)) for right in whole]
-    return out
-
+def frame(pivots: np.ndarray) -> np.ndarray:
+    """An orthonormal basis (dimensions, pivots) of the space that the pivots and the origin span."""
+    return np.linalg.qr((pivots / (np.abs(pivots).max(initial=0) or 1)).T)[0]
 
-class _Best:
-    """The k best candidates of each query so far."""
 
-    def __init__(self, n: int, k: int):
-        self.k, self.rows = k, [[] for _ in range(n)]
-        self.bar = np.full(n, -np.inf)
+def apexes(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Each row's place in the pivots' space, its distance from it, and a last part that makes up for rounding.
 
-    def add(self, i: int, scores, ids: np.ndarray, places: np.ndarray) -> None:
-        """Scores of further candidates of query i, in any order."""
-        good = np.flatnonzero(scores >= self.bar[i])
-        if not len(good):
-            return
-        merged = self.rows[i] + list(zip((-scores[good]).tolist(), ids[good].tolist(), places[good].tolist()))
-        merged.sort()
-        self.rows[i] = merged[: self.k]
-        if len(merged) >= self.k:
-            # rounded down, so that no equal score is lost beyond 53 bits
-            self.bar[i] = np.nextafter(float(-self.rows[i][-1][0]), -np.inf) if abs(self.rows[i][-1][0]) >= 2**53 else -self.rows[i][-1][0]
+    The product of two rows here is a bound on the inner product of their vectors.
+    """
+    y = x @ basis
+    away = np.sqrt(((x - y @ basis.T) ** 2).sum(1))
+    # products of 24 bits, summed over all columns, are off by less than this share of both lengths
+    loose = np.sqrt((x**2).sum(1) * (basis.shape[1] + 8) * 2.0**-22)
+    return np.c_[y, away, loose].astype(np.float32)
 
 
-def search_block(q: pd.DataFrame, x: pd.DataFrame, width: int, k: int) -> list[tuple]:
-    """(query_row, query_id, row, vec_id, score, evaluated) of the k best of one block for each query."""
-    out = []
+def upper_bounds(table_q: np.ndarray, table_x: np.ndarray) -> np.ndarray:
+    """Bounds on all inner products, a little loose so that rounding can't lower them."""
+    # in 24 bits numbers end at 2**128
+    kind = np.float32 if float(np.abs(table_q).max(initial=0)) * float(np.abs(table_x).max(initial=0)) < 2.0**110 else np.float64
+    return table_q.astype(kind, copy=False) @ table_x.astype(kind, copy=False).T
+
+
+class _Products:
+    """Whole-number inner products: in the narrowest floats that hold them exactly, else integers."""
+
+    def __init__(self, q: np.ndarray, x: np.ndarray):
+        most = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[-1]
+        self.whole = most >= 2**53
+        if self.whole:
+            self.q, self.x = ([[int(v) for v in row] for row in side.tolist()] for side in (q, x))
+        else:
+            kind = np.float32 if most < 2**24 else np.float64
+            self.q, self.x = q.astype(kind), x.astype(kind)
+
+    def of(self, i: int, take: np.ndarray) -> np.ndarray:
+        """Scores of some rows with query i."""
+        if not self.whole:
+            return (self.x[take] @ self.q[i]).astype(np.float64)
+        out = np.empty(len(take), dtype=object)
+        out[:] = [sum(a * b for a, b in zip(self.q[i], self.x[j])) for j in take.tolist()]
+        return out
+
+
+def kth_highest(scores: np.ndarray, k: int) -> float:
+    """The k-th highest score, if there are so many; rounded down to the bits of bounds, so that no equal score is lost."""
+    if len(scores) < k:
+        return -np.inf
+    bar = float(np.sort(scores)[-k] if scores.dtype == object else np.partition(scores, -k)[-k])
+    kind = np.float32 if abs(bar) < 2.0**120 else np.float64
+    return float(np.nextafter(kind(bar), kind(-np.inf)))
+
+
+def walk(i: int, bounds: np.ndarray, products: _Products, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places and scores of the k best rows for query i, best first, and how many were evaluated; a row of bound -inf takes no part."""
+    step = np.argpartition(bounds, len(bounds) - STEP)[len(bounds) - STEP :] if len(bounds) > STEP else np.arange(len(bounds))
+    step = step[bounds[step] > -np.inf]
+    places, scores, seen = step, products.of(i, step), len(step)
+    bar = kth_highest(scores, k)
+    left = (bounds >= bar) & (bounds > -np.inf)
+    left[step] = False
+    left = np.flatnonzero(left)
+    left = left[np.argsort(-bounds[left])]
+    for at in range(0, len(left), STEP):
+        step = left[at : at + STEP]
+        step = step[bounds[step] >= bar]
+        if not len(step):
+            break
+        found = products.of(i, step)
+        seen += len(step)
+        good, kept = found >= bar, scores >= bar
+        places, scores = np.r_[places[kept], step[good]], np.r_[scores[kept], found[good]]
+        bar = kth_highest(scores, k)
+    # equal scores go by place; integers beyond floats are sorted as they are
+    order = places.argsort(kind="stable")
+    order = order[np.argsort(-scores[order], kind="stable")][:k]
+    return places[order], scores[order], seen
+
+
+def search_block(q: pd.DataFrame, x: pd.DataFrame, width: int, k: int) -> pd.DataFrame:
+    """The k best of one block for each query."""
     q, x = q.reset_index(drop=True), x.sort_values(["vec_id", "row"]).reset_index(drop=True)
-    vq, vx = matrix(q.v.to_list(), width), matrix(x.v.to_list(), width)
-    table_q, table_x = np.array(q.far.to_list(), np.float32).reshape(len(q), -1), np.array(x.far.to_list(), np.float32).reshape(len(x), -1)
-    norm_q, norm_x = (vq**2).sum(1), (vx**2).sum(1)
-    rows, ids = x.row.to_numpy(), x.vec_id.to_numpy()
-    near = np.lexsort((table_q.min(1), table_q.argmin(1))) if table_q.shape[1] else np.arange(len(q))
+    products = _Products(matrix(q.v.to_list(), width), matrix(x.v.to_list(), width))
+    table_q, table_x = np.array(q.far.to_list(), np.float32), np.array(x.far.to_list(), np.float32)
+    own, rows = q.row.to_numpy(), x.row.to_numpy()
+    found = []
     for at in range(0, len(q), QUERIES_AT_ONCE):
-        group = near[at : at + QUERIES_AT_ONCE]
-        own = q.row.to_numpy()[group]
-        bounds = upper_bounds(table_q[group], table_x, norm_q[group], norm_x)
-        bounds[rows[None] == own[:, None]] = -np.inf
-        order = np.argsort(-bounds.max(0), kind="stable")
-        bounds = bounds[:, order]
-        # of each query, the highest bound of all candidates from a step on
-        ahead = np.maximum.reduceat(bounds, np.arange(0, len(x), STEP), axis=1)
-        ahead = np.maximum.accumulate(ahead[:, ::-1], axis=1)[:, ::-1]
-        best, seen = _Best(len(group), k), np.zeros(len(group), int)
-        for step in range(ahead.shape[1]):
-            walking = np.flatnonzero(ahead[:, step] >= best.bar)
-            if not len(walking):
-                break
-            part = slice(step * STEP, (step + 1) * STEP)
-            alive = bounds[walking, part] >= np.maximum(best.bar[walking], np.finfo(np.float32).min)[:, None]
-            columns = np.flatnonzero(alive.any(0))
-            if not len(columns):
-                continue
-            take = order[part][columns]
-            scores = exact_products(vq[group[walking]], vx[take])
-            for t, i in enumerate(walking.tolist()):
-                mine = np.flatnonzero(alive[t, columns])
-                seen[i] += len(mine)
-                best.add(i, scores[t, mine], ids[take[mine]], rows[take[mine]])
-        for i, g in enumerate(group.tolist()):
-            out += [(int(q.row[g]), int(q.vec_id[g]), r, v, int(-s), int(seen[i])) for s, v, r in best.rows[i]]
-    return out
+        bounds = upper_bounds(table_q[at : at + QUERIES_AT_ONCE], table_x)
+        bounds[rows[None] == own[at : at + QUERIES_AT_ONCE, None]] = -np.inf
+        found += [walk(at + i, b, products, k) for i, b in enumerate(bounds)]
+    sizes = [len(places) for places, _, _ in found]
+    best = x.iloc[np.concatenate([places for places, _, _ in found])]
+    return pd.DataFrame(
+        {
+            "query_row": np.repeat(own, sizes),
+            "query_id": np.repeat(q.vec_id.to_numpy(), sizes),
+            "row": best.row.to_numpy(),
+            "vec_id": best.vec_id.to_numpy(),
+            "score": [int(s) for _, scores, _ in found for s in scores.tolist()],
+            "evaluated": np.repeat([seen for _, _, seen in found], sizes),
+        }
+    )
 
 
 FOUND = "query_row long, query_id long, row long, vec_id long, score long, evaluated long"
@@ -174,11 +190,11 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, n_pivots: int = N_PI
     shape = plain.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).first()
     width = shape["width"] or 1
     sample = plain.orderBy(F.xxhash64("row")).limit(PIVOT_SAMPLE).collect()
-    pivots = choose_pivots(matrix([r.v for r in sample], width), n_pivots)
+    basis = frame(choose_pivots(matrix([r.v for r in sample], width), min(n_pivots, max(1, int(PIVOT_SHARE * width)))))
 
     def far(batches):
         for b in batches:
-            b["far"] = list(pivot_table(matrix(b.v.to_list(), width), pivots).astype(np.float32)) if len(b) else []
+            b["far"] = list(apexes(matrix(b.v.to_list(), width), basis))
             yield b
 
     rows = scratch.save(plain.mapInPandas(far, "vec_id long, v array<double>, row long, far array<float>"), "rows")
@@ -191,8 +207,9 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, n_pivots: int = N_PI
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.rename(columns={"r": "row", "i": "vec_id", "w": "v", "f": "far"})
-        found = search_block(left, right, width, k) if len(left) and len(right) else []
-        return pd.DataFrame(found, columns=[c.split()[0] for c in FOUND.split(", ")])
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=[c.split()[0] for c in FOUND.split(", ")])
+        return search_block(left, right, width, k)
 
     found = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("to_qb", "to_cb")).applyInPandas(search, FOUND)
     order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id", "row")

@@ -135,6 +135,48 @@ def test_search_stops_early_where_pivots_tell(spark):
     assert seen < 2500
 
 
+def test_search_excludes_in_many_dimensions(spark):
+    """Most candidates are left out in as many dimensions as the table has, and the result is still whole."""
+    rng = np.random.default_rng(3)
+    kinds = rng.normal(size=(10, 64))
+    v = kinds[rng.integers(10, size=6000)] * 0.4 + rng.normal(size=(6000, 64))
+    rows = [(i, [float(x) for x in u]) for i, u in enumerate(v / np.linalg.norm(v, axis=1)[:, None])]
+    found = pivotsearch.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20, 100).collect()
+    assert {tuple(r)[:4] for r in found} == plain_search(rows, 20, 100)
+    assert np.mean([r.evaluated for r in found]) < 1500
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 64, 200])
+def test_bounds_hold_for_odd_vectors(width):
+    """No bound is under its inner product: unlike lengths, multiples, zeros, copies, numbers beyond 24 and 53 bits."""
+    rng = np.random.default_rng(width)
+    v = np.floor(rng.normal(size=(120, width)) * 50)
+    v = np.r_[v, v[:9] * 3, -v[:9], v[:9], np.zeros((2, width)), v[:20] * 2.0**30, v[20:40] * 2.0**55, np.eye(width)[:5]]
+    for pivots in (1, 2, 64):
+        table = pivotsearch.apexes(v, pivotsearch.frame(pivotsearch.choose_pivots(v[::2], pivots)))
+        bounds = pivotsearch.upper_bounds(table, table)
+        assert np.isfinite(bounds).all()
+        whole = v.astype(object)
+        for i in range(len(v)):
+            assert all(int(sum(int(a) * int(b) for a, b in zip(whole[i], w))) <= float(b_) for w, b_ in zip(whole, bounds[i]))
+
+
+@pytest.mark.parametrize("scale", [1, 2.0**20, 2.0**40])
+def test_walk_keeps_all_equal_scores(monkeypatch, scale):
+    """Of equal scores the first places win, however large the numbers are and however the steps fall."""
+    monkeypatch.setattr(pivotsearch, "STEP", 7)
+    rng = np.random.default_rng(5)
+    v = np.floor(rng.integers(-2, 3, size=(300, 3)) * scale)
+    basis = pivotsearch.frame(pivotsearch.choose_pivots(v, 2))
+    table, products = pivotsearch.apexes(v, basis), pivotsearch._Products(v, v)
+    for i in range(0, 300, 10):
+        bounds = pivotsearch.upper_bounds(table[i : i + 1], table)[0]
+        bounds[i] = -np.inf
+        places, scores, _ = pivotsearch.walk(i, bounds, products, 20)
+        exact = sorted((-sum(int(a) * int(b) for a, b in zip(v[i], w)), j) for j, w in enumerate(v) if j != i)[:20]
+        assert list(zip((-int(s) for s in scores), places.tolist())) == exact
+
+
 # shards
 
 

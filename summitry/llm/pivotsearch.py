@@ -38,8 +38,10 @@ from . import common
 N_PIVOTS, PIVOT_SHARE = 64, 0.875
 #: Rows from which pivots are chosen.
 PIVOT_SAMPLE = 2000
-QUERY_BLOCK = 1024
+#: Rows of a block; those of candidates grow to four times that in large tables, those of wide vectors hold so many numbers at most.
+QUERY_BLOCK = 32768
 CANDIDATE_BLOCK = 8192
+BLOCK_NUMBERS = 1 << 22
 #: Candidates of a step of a walk, and queries whose bounds are held at once.
 STEP = 512
 QUERIES_AT_ONCE = 64
@@ -179,6 +181,13 @@ def search_block(q: pd.DataFrame, x: pd.DataFrame, width: int, k: int) -> pd.Dat
     )
 
 
+def blocks(n_rows: int, n_queries: int, width: int) -> tuple[int, int]:
+    """Numbers of blocks of candidates and of queries: every row is copied to all blocks of the other side."""
+    most = max(1, BLOCK_NUMBERS // width)
+    rows = min(max(CANDIDATE_BLOCK, n_rows // 32), 4 * CANDIDATE_BLOCK, most)
+    return max(1, -(-n_rows // rows)), max(1, -(-n_queries // min(QUERY_BLOCK, most)))
+
+
 FOUND = "query_row long, query_id long, row long, vec_id long, score long, evaluated long"
 
 
@@ -199,7 +208,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, n_pivots: int = N_PI
 
     rows = scratch.save(plain.mapInPandas(far, "vec_id long, v array<double>, row long, far array<float>"), "rows")
     scratch.drop("plain")
-    n_cand, n_query = max(1, -(-shape["n"] // CANDIDATE_BLOCK)), max(1, -(-shape["q"] // QUERY_BLOCK))
+    n_cand, n_query = blocks(shape["n"], shape["q"], width)
     cell = lambda n, salt: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(n)).cast("int")
     across = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     queries = rows.where(F.col("vec_id") % every == 0).select(cell(n_query, 1).alias("qb"), across(n_cand).alias("cb"), "row", "vec_id", "v", "far")

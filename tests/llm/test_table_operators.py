@@ -146,6 +146,19 @@ def test_search_excludes_in_many_dimensions(spark):
     assert np.mean([r.evaluated for r in found]) < 1500
 
 
+def test_search_in_blocks_of_wide_vectors(spark, monkeypatch):
+    """Rows are copied to few blocks, blocks hold bounded numbers, and however they fall the result is the same."""
+    n_cand, n_query = pivotsearch.blocks(1_000_000, 50_000, 64)
+    assert 1_000_000 * n_query + 50_000 * n_cand < 4_000_000
+    assert all(n / b * 4096 <= pivotsearch.BLOCK_NUMBERS for n, b in zip((1_000_000, 50_000), pivotsearch.blocks(1_000_000, 50_000, 4096)))
+    monkeypatch.setattr(pivotsearch, "BLOCK_NUMBERS", 2000)
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=(40, 25, 3)[i % 3])]) for i in range(150)]
+    rows += [(150 + i, rows[i][1]) for i in range(30)]
+    got = [tuple(r)[:4] for r in pivotsearch.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 7, 5).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_search(rows, 7, 5)
+
+
 @pytest.mark.parametrize("width", [1, 2, 3, 64, 200])
 def test_bounds_hold_for_odd_vectors(width):
     """No bound is under its inner product: unlike lengths, multiples, zeros, copies, numbers beyond 24 and 53 bits."""

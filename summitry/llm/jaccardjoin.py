@@ -270,14 +270,14 @@ def choose_leads(rows: DataFrame, scratch: common.Scratch, name: str) -> DataFra
     group, and a set follows the one that leads most of its groups.
     """
     sizes = rows.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1")
-    total = scratch.save(sizes, f"{name}-sizes").agg(F.sum("size")).first()[0] or 0
+    total = scratch.gather(sizes, f"{name}-sizes").agg(F.sum("size")).first()[0] or 0
     sizes = scratch.read(f"{name}-sizes")
-    grouped = scratch.save(common.join_split(rows.select("sig", "key"), sizes.withColumn("copies", F.col("size")), "sig", "copies", total), f"{name}-grouped")
+    grouped = scratch.gather(common.join_split(rows.select("sig", "key"), sizes.withColumn("copies", F.col("size")), "sig", "copies", total), f"{name}-grouped")
     weights = grouped.groupBy("key").agg(F.sum("size").alias("w"))
     leads = grouped.join(weights, "key").groupBy("sig").agg(F.max_by("key", F.struct("w", "key")).alias("lead"), F.max("size").alias("copies"))
-    leads = scratch.save(leads, f"{name}-leads")
+    leads = scratch.gather(leads, f"{name}-leads")
     votes = common.join_split(grouped.select("sig", "key"), leads, "sig", "copies", total).groupBy("key", "lead").agg(F.count("*").alias("c"))
-    chosen = scratch.save(votes.groupBy("key").agg(F.max_by("lead", F.struct("c", "lead")).alias("lead")), f"{name}-chosen")
+    chosen = scratch.gather(votes.groupBy("key").agg(F.max_by("lead", F.struct("c", "lead")).alias("lead")), f"{name}-chosen")
     for part in ("sizes", "grouped", "leads"):
         scratch.drop(f"{name}-{part}")
     return chosen
@@ -293,7 +293,7 @@ def follow(chosen: DataFrame, scratch: common.Scratch, name: str) -> DataFrame:
     for hop in range(HOPS):
         onward = chosen.select(F.col("key").alias("chosen"), F.col("chosen").alias("further"))
         chosen = chosen.join(onward, "chosen", "left").select("key", F.coalesce("further", "chosen").alias("chosen"))
-        chosen = scratch.save(chosen, f"{name}-{hop}")
+        chosen = scratch.gather(chosen, f"{name}-{hop}")
     return chosen
 
 
@@ -397,15 +397,15 @@ def open_rows(sets: DataFrame, groups: list[str], scratch: common.Scratch, name:
     every = split[0]
     for one in split[1:]:
         every = every & one
-    opened = scratch.save(rows.groupBy("sig").agg(every.alias("open"), F.count("*").alias("size")).where("open").select("sig", "size"), f"{name}-opened")
+    opened = scratch.gather(rows.groupBy("sig").agg(every.alias("open"), F.count("*").alias("size")).where("open").select("sig", "size"), f"{name}-opened")
     total = opened.agg(F.sum("size")).first()[0] or 0
     if not total:
         return rows.limit(0).withColumn("size", F.lit(0).cast("long"))
     kept = common.join_split(rows, opened.withColumn("copies", F.col("size")), "sig", "copies", total)
-    kept = scratch.save(kept, f"{name}-kept")
+    kept = scratch.gather(kept, f"{name}-kept")
     enough = kept.groupBy("key", F.col("sig").bitwiseAND(255).alias("tag")).agg(F.count("*").alias("c"), F.max("need").alias("need")).where("c >= need")
     enough = enough.select("key", "tag")
-    return scratch.save(kept.withColumn("tag", F.col("sig").bitwiseAND(255)).join(enough, ["key", "tag"], "left_semi"), f"{name}-open")
+    return scratch.gather(kept.withColumn("tag", F.col("sig").bitwiseAND(255)).join(enough, ["key", "tag"], "left_semi"), f"{name}-open")
 
 
 def by_signature(rows: DataFrame, sets: DataFrame, scratch: common.Scratch) -> DataFrame:
@@ -413,21 +413,21 @@ def by_signature(rows: DataFrame, sets: DataFrame, scratch: common.Scratch) -> D
     lists = rows.groupBy("key", "tag").agg(F.max("label").alias("label"), F.max("need").alias("need"), F.array_sort(F.collect_list(F.struct("size", "sig"))).alias("s"))
     kept = lists.select("key", "label", F.explode(F.slice("s", F.lit(1), F.size("s") - F.greatest("need", F.lit(1)) + 1)).alias("s"))
     members = kept.select(F.col("s.sig").alias("cell"), "key", "label").join(sets.select("key", "n"), "key").withColumn("outside", F.lit(True))
-    return meet(sets, in_cells(scratch.save(members, "met")))
+    return meet(sets, in_cells(scratch.gather(members, "met")))
 
 
 def set_links(docs: DataFrame, info: DataFrame, scratch: common.Scratch) -> DataFrame:
     """(a, b) links between names of sets, enough to join every component."""
-    live = scratch.save(live_sets(docs), "live-keys")
+    live = scratch.gather(live_sets(docs), "live-keys")
     owners = info.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(live, "key", "left_semi")
-    owners = scratch.save(owners.select("doc_id", "key"), "owners")
+    owners = scratch.gather(owners.select("doc_id", "key"), "owners")
     sets = scratch.save(texts_of_sets(docs, owners, owners.count()), "sets")
     # one look at the leader for each set
     chosen = choose_leads(signed(sets, VOTING).select("sig", "key"), scratch, "first")
     links = scratch.save(meet(sets, with_leads(chosen.where("key <> lead"))), "first")
     labels = links.groupBy(F.col("b").alias("key")).agg(F.min("a").alias("label"))
     left = sets.join(chosen, "key", "left").join(labels, "key", "left")
-    left = scratch.save(left.select("key", "n", "text", F.coalesce("label", "key").alias("label"), F.coalesce("lead", "key").alias("chosen")), "labelled")
+    left = scratch.gather(left.select("key", "n", "text", F.coalesce("label", "key").alias("label"), F.coalesce("lead", "key").alias("chosen")), "labelled")
     groups: list[str] = []
     for k in range(ROUNDS):
         rows = open_rows(left, groups, scratch, f"round-{k}")
@@ -439,14 +439,14 @@ def set_links(docs: DataFrame, info: DataFrame, scratch: common.Scratch) -> Data
         else:
             left = left.join(rows.select("key").distinct(), "key", "left_semi")
         group = f"group_{k}"
-        left = scratch.save(left, f"left-{k}")
+        left = scratch.gather(left, f"left-{k}")
         groups_of = follow(left.select("key", "chosen"), scratch, f"follow-{k}")
-        left = scratch.save(left.drop("chosen").join(groups_of.withColumnRenamed("chosen", group), "key"), f"grouped-{k}")
+        left = scratch.gather(left.drop("chosen").join(groups_of.withColumnRenamed("chosen", group), "key"), f"grouped-{k}")
         # most sets of a group have the most frequent label; the others meet all
         sizes = left.groupBy(group, "label").agg(F.count("*").alias("c"))
         mains = sizes.groupBy(group).agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("c")).where("c > 1").drop("c")
         members = left.join(mains, group).select(F.col(group).alias("cell"), "key", "label", "n", (F.col("label") != F.col("main")).alias("outside"))
-        links = links.unionByName(scratch.save(meet(left, in_cells(scratch.save(members, f"members-{k}"))), f"links-{k}"))
+        links = links.unionByName(scratch.save(meet(left, in_cells(scratch.gather(members, f"members-{k}"))), f"links-{k}"))
         groups.append(group)
     rows = open_rows(left, groups, scratch, "last")
     if rows.isEmpty():
@@ -464,17 +464,17 @@ def link_components(docs: DataFrame) -> DataFrame:
     # ids with several texts join these; then each set's component has a least id
     named = info.where("key is not null and doc_id is not null")
     several = named.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z").select("doc_id", "a")
-    same_id = scratch.save(named.join(several, "doc_id").select("a", F.col("key").alias("b")).distinct(), "same-id")
+    same_id = scratch.gather(named.join(several, "doc_id").select("a", F.col("key").alias("b")).distinct(), "same-id")
     joined = components(links.unionByName(same_id), scratch, "all")
     once = named.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    once = scratch.save(once.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "once")
+    once = scratch.gather(once.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "once")
     least = once.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("sets"), F.sum("copies").alias("copies")).where("copies > 1")
     rows = info.count()
-    found = scratch.save(common.join_split(once.select("key", "root", F.col("copies").alias("own")), least.drop("sets"), "root", "copies", rows), "least")
+    found = scratch.gather(common.join_split(once.select("key", "root", F.col("copies").alias("own")), least.drop("sets"), "root", "copies", rows), "least")
     placed = common.join_split(info, found.select("key", "least", F.col("own").alias("copies")), "key", "copies", rows, "left")
     # rows without words follow the other rows of their id
     empty = info.where("n = 0 and doc_id is not null").select("doc_id").distinct()
-    kin = scratch.save(named.join(empty, "doc_id").select("doc_id", "key").distinct(), "kin")
+    kin = scratch.gather(named.join(empty, "doc_id").select("doc_id", "key").distinct(), "kin")
     if not kin.isEmpty():
         kin = kin.join(found.select("key", "least"), "key", "left").groupBy("doc_id").agg(F.min(F.coalesce("least", "doc_id")).alias("kin"))
         placed = placed.join(kin, "doc_id", "left").withColumn("least", F.coalesce("least", "kin"))
@@ -487,7 +487,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Rows without an id stay, and so do all rows that repeat the least id.
     """
     scratch = common.Scratch(docs.sparkSession, "copies")
-    dropped = scratch.save(link_components(docs).where("component_id <> doc_id").select("doc_id").distinct(), "dropped")
+    dropped = scratch.gather(link_components(docs).where("component_id <> doc_id").select("doc_id").distinct(), "dropped")
     return common.without(docs, "doc_id", dropped, dropped.count())
 
 

@@ -43,7 +43,7 @@ from . import common
 N_BEST = 3
 #: Words and units that a worker remembers before it starts afresh, and their longest text.
 #: A million words take about 0.4 GB; fewer only cost time.
-WORDS, UNITS, LONGEST = 200_000, 120_000, 48
+WORDS, UNITS, LONGEST = 100_000, 60_000, 48
 BLANK = "▁"
 #: Added to the least score for a character that no piece is.
 UNKNOWN = -10
@@ -341,7 +341,7 @@ def digests(docs: DataFrame, n: int = N_BEST, path: str | None = None, words: in
 
     def run(batches):
         lattice = Lattice.at(path, n, words, units)
-        for b in batches:
+        for b in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             rows = []
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 t = t or ""

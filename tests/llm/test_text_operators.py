@@ -490,3 +490,31 @@ def test_held_out_rule(spark):
     rows = spark.range(50).select("id", common.held_out("id").alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) == common.held_out_py(r.id) for r in rows)
     assert collections.Counter(r.h for r in rows)[True] > 3
+
+
+def test_jaccard_tables_have_few_files_whatever_the_partitions(spark, monkeypatch):
+    names = {"spark.sql.shuffle.partitions": "96", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, saved = {k: spark.conf.get(k) for k in names}, {}
+    save = common.Scratch.save
+
+    def counted(self, df, name):
+        table = save(self, df, name)
+        saved[name] = len(table.inputFiles())
+        return table
+
+    monkeypatch.setattr(common.Scratch, "save", counted)
+    texts = [" ".join(f"w{(i // 4) * 50 + j}" for j in range(40)) + f" end{i % 4}" for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        most = common.files_of(spark)
+        found = {r["doc_id"]: r["component_id"] for r in jaccardjoin.link_components(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == {i: i // 4 * 4 for i in range(400)}
+    # the comparisons themselves stay spread over all tasks
+    gathered = {k: n for k, n in saved.items() if k not in ("info", "sets", "first") and not k.startswith("links")}
+    assert "owners" in gathered and "all-found" in gathered
+    assert max(gathered.values()) <= most < 96

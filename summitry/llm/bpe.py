@@ -20,7 +20,7 @@ import re
 from .common import remembered
 
 #: Parts that a worker remembers; when full they are kept for a second turn.
-MEMORY = 300_000
+MEMORY = 500_000
 
 #: Control characters that count as white space to some libraries only are left out.
 _PLAIN = re.compile(r"[\x00-\x1b\x20-\x84\x86-ɏ]*")
@@ -62,11 +62,10 @@ class WordEncoder:
         self.blank = self.characters[32]
         specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, specials))).search if specials else lambda text: None
-        #: ids of words, and of parts with their blank in front, now and before the memory was full; token counts of parts
+        #: ids of words, and of parts with their blank in front, now and before the memory was full
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.counts: dict[str, int] = {}
 
     @staticmethod
     def at(path: str) -> "WordEncoder":
@@ -80,11 +79,13 @@ class WordEncoder:
 
     def _cut(self, text: str) -> bytes:
         """Ids of a plain text or part, by its words."""
-        known, out = self.known, []
+        known, parts, out = self.known, self.parts, []
         for word in _words(text):
             ids = known.get(word)
             if ids is None:
-                ids = known[word] = self._word(word)
+                # a word with its blank may be known as a part
+                ids = (parts.get(word[1:]) if word[0] == " " else None) or self._word(word)
+                known[word] = ids
             out.append(ids)
         return out[0] if len(out) == 1 else b"".join(out)
 
@@ -105,14 +106,12 @@ class WordEncoder:
         new = set().union(*lists).difference(self.parts) if lists else ()
         if len(self.parts) + len(new) > MEMORY:
             self.older, self.parts = self.parts, {}
-            self.counts.clear()
             new = set().union(*lists)
         if len(self.known) > MEMORY:
             self.known.clear()
         old = self.older.get
         found = {part: old(part) or self._part(part) for part in new}
         self.parts.update(found)
-        self.counts.update(zip(found, (len(ids) // 4 for ids in found.values())))
 
     def _each(self, texts: list[str], block: int = 1 << 20):
         """Blocks of (places, beginnings, parts) of cut texts, then (place, ids) of the others."""
@@ -155,7 +154,7 @@ class WordEncoder:
             if place is not None:
                 out[place] = len(found) // 4
             else:
-                get = self.counts.__getitem__
+                get = self.parts.__getitem__
                 for i, begin, parts in zip(*found):
-                    out[i] = len(begin) // 4 + sum(map(get, parts))
+                    out[i] = (len(begin) + sum(map(len, map(get, parts)))) // 4
         return out

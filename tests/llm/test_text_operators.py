@@ -143,6 +143,15 @@ def test_ids_are_the_librarys(spark):
     assert encoder.encode(texts) == want and encoder.count(texts) == [len(w) // 4 for w in want]
 
 
+def test_known_parts_are_not_encoded_again(monkeypatch):
+    encoder, words = bpe.WordEncoder(bpe.default_path()), []
+    word = encoder._word
+    monkeypatch.setattr(encoder, "_word", lambda w: words.append(w) or word(w))
+    texts = ["a wordy", "a wordy, wordy."]
+    assert [encoder.encode([t])[0] for t in texts] == [np.array(encoder.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert words == ["a", ",", "."]
+
+
 def test_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "MEMORY", 50)
     encoder = bpe.WordEncoder(bpe.default_path())

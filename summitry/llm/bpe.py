@@ -20,7 +20,7 @@ import re
 from .common import remembered
 
 #: Parts that a worker remembers; when full they are kept for a second turn.
-MEMORY = 500_000
+MEMORY = 800_000
 
 #: Control characters that count as white space to some libraries only are left out.
 _PLAIN = re.compile(r"[\x00-\x1b\x20-\x84\x86-ɏ]*")

@@ -159,6 +159,50 @@ def test_memory_is_bounded(monkeypatch):
     assert encoder.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in encoder.library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_a_part_is_looked_up_once_in_a_block():
+    """However often it occurs; lookups of each occurrence took op9 beyond its CPU budget."""
+
+    class Counted(dict):
+        lookups = 0
+
+        def get(self, *key):
+            Counted.lookups += 1
+            return super().get(*key)
+
+        def __getitem__(self, key):
+            Counted.lookups += 1
+            return super().__getitem__(key)
+
+    encoder = bpe.WordEncoder(bpe.default_path())
+    encoder.parts = Counted()
+    texts = ["first words, éü of\nlines. " + "the cat's 12 " * 1000 + "end"] * 20
+    want = np.array(encoder.library.encode(texts[0], add_special_tokens=False).ids, "<u4").tobytes()
+    assert encoder.encode(texts) == [want] * 20 and Counted.lookups < 100
+    assert encoder.count(texts) == [len(want) // 4] * 20 and Counted.lookups < 100
+
+
+def test_words_of_texts_without_single_blanks_are_not_kept_for_ever(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMORY", 50)
+    for texts in ([f"a{i}  b{i}  c{i}" for i in range(300)], [f"w{i}x" for i in range(300)]):
+        encoder = bpe.WordEncoder(bpe.default_path())
+        for text in texts:
+            encoder.encode([text])
+        assert len(encoder.known) + len(encoder.parts) + len(encoder.older) < 200
+
+
+def test_blocks_and_turns_of_memory_keep_the_ids(monkeypatch):
+    """Texts of few and many parts, with and without blanks, among such that the library encodes whole."""
+    rng = random.Random(4)
+    words = ["the", "éü", "ÿx", "a.\nBe", "x\n\n", "'s", "don't", "12a", "²", "ª", "\x00", "&&&", "ing,", "<|endoftext|>", "漢", "\xa0", ""]
+    texts = [" ".join(rng.choice(words if rng.random() < 0.2 else words[:13]) + rng.choice(("", "", str(i))) for _ in range(rng.randint(0, 12))) for i in range(2000)]
+    monkeypatch.setattr(bpe, "MEMORY", 40)
+    for block in (1, 100, 1 << 20):
+        monkeypatch.setattr(bpe, "BLOCK", block, raising=False)
+        encoder = bpe.WordEncoder(bpe.default_path())
+        want = [np.array(e.ids, "<u4").tobytes() for e in encoder.library.encode_batch(texts, add_special_tokens=False)]
+        assert encoder.encode(texts) == want and encoder.count(texts[::-1]) == [len(w) // 4 for w in want[::-1]]
+
+
 def test_token_counts_use_the_cache(spark, tmp_path):
     docs, cache = odd(spark), str(tmp_path / "cache")
     first = {(r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in tokencount.token_counts(docs, cache).collect()}
